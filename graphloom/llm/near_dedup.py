@@ -120,10 +120,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     batch.column("doc_id").slice(piece.first, piece.docs),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([int.from_bytes(fingerprint(s)[:8], "little", signed=True) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel())),
                     pa.array([None if e else x.tobytes() for e, x in zip(empty, bits, strict=True)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "class", "bands", "sketch"],
+                ["doc_id", "n_shingles", "class", "id", "bands", "sketch"],
             )
 
 
@@ -175,16 +176,16 @@ def _fixed(column: pa.ChunkedArray, width: int) -> np.ndarray:
 _EDGES = "u binary, v binary"
 
 
-def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["u", "v"])
+def _edges(pairs: list[tuple], kind: pa.DataType = pa.binary()) -> pa.RecordBatch:  # noqa: B008
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], kind) for i in (0, 1)], ["u", "v"])
 
 
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The spanning forest of each bucket; rows come sorted by key."""
     for table in runs(batches, "key"):
         keys = table.column("key").to_numpy()
-        sketch, size, ids = _fixed(table.column("sketch"), SKETCH // 8), table.column("n_shingles").to_numpy(), table.column("class").to_pylist()
-        out: set[tuple[bytes, bytes]] = set()
+        sketch, size, ids = _fixed(table.column("sketch"), SKETCH // 8), table.column("n_shingles").to_numpy(), table.column("id").to_pylist()
+        out: set[tuple[int, int]] = set()
         cuts = np.array(_cuts(keys))
         width = np.diff(cuts)
         two = cuts[:-1][width == 2]  # most buckets
@@ -199,18 +200,24 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
             out.update((ids[a + x], ids[a + y]) for x, y in forest(n, near))
         if out:
-            yield _edges(sorted(out))
+            yield _edges(sorted(out), pa.int64())
 
 
 def candidate_groups(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(node, label): the classes that may have a link, and their candidate group."""
+    """(node, label): the ids of the classes that may have a link, and their candidate group.
+
+    An id is half a fingerprint: should two classes have the same, they are candidates more, not fewer.
+    What is shuffled for all classes is the narrow pair of band key and id; sketches only join the pairs
+    of a bucket.
+    """
     spark = classes.sparkSession
-    spread = classes.select("class", F.explode("bands").alias("key"))
-    shared_keys = shared.materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("u")).where("n > 1"), "buckets")
-    few = classes.select("class", "n_shingles", "sketch", F.explode("bands").alias("key")).join(shared_keys.where(F.col("n") <= bucket).select("key"), "key")
-    found = few.repartition(shared.partitions(spark), "key").sortWithinPartitions("key", "class").mapInArrow(_bucketed, _EDGES)
-    star = spread.join(shared_keys.where(F.col("n") > bucket).select("key", "u"), "key").where("class != u").select("u", F.col("class").alias("v"))
-    return components(found.union(star))
+    spread = classes.select("id", F.explode("bands").alias("key"))
+    buckets = shared.materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("u")).where("n > 1"), "buckets")
+    found = shared.materialise(spread.join(buckets.hint("merge"), "key"), "bucketed")  # one strategy at every size
+    few = found.where(F.col("n") <= bucket).select("key", "id").join(classes.select("id", "n_shingles", "sketch").hint("merge"), "id")
+    forests = few.repartition(shared.partitions(spark), "key").sortWithinPartitions("key", "id").mapInArrow(_bucketed, "u long, v long")
+    star = found.where((F.col("n") > bucket) & (F.col("id") != F.col("u"))).select("u", F.col("id").alias("v"))
+    return components(forests.union(star))
 
 
 # Confirmation
@@ -326,14 +333,14 @@ def near_duplicates(docs: DataFrame, limit: int = GROUP, bucket: int = BUCKET) -
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
     plain = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = dict(plain.dtypes)["doc_id"]
-    signed = shared.materialise(plain.mapInArrow(_signed, f"doc_id {kind}, n_shingles long, class binary, bands array<long>, sketch binary"), "signed")
-    classes = shared.materialise(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch"))), "classes")
-    groups = candidate_groups(classes, bucket).withColumnRenamed("node", "class").withColumnRenamed("label", "group")
-    members = groups.join(classes.select("class", "first", "n_shingles", "sketch"), "class")
+    signed = shared.materialise(plain.mapInArrow(_signed, f"doc_id {kind}, n_shingles long, class binary, id long, bands array<long>, sketch binary"), "signed")
+    classes = shared.materialise(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "id", "bands", "sketch"))), "classes")
+    groups = candidate_groups(classes, bucket).withColumnsRenamed({"node": "id", "label": "group"})
+    members = groups.join(classes.select("id", "class", "first", "n_shingles", "sketch"), "id")
     totals = members.groupBy("group").agg(F.sum("n_shingles").alias("total"))
     members = shared.materialise(members.join(totals, "group").select("first", "class", "group", "sketch", "total"), "members")
     texts = plain.join(shared.bounded(members, BROADCAST), plain["doc_id"].eqNullSafe(members["first"])).select("text", "group", "class", "sketch", "total")
-    sets = texts.mapInArrow(_sets, "group binary, class binary, sketch binary, total long, keys binary")
+    sets = texts.mapInArrow(_sets, "group long, class binary, sketch binary, total long, keys binary")
     sets = shared.materialise(sets, "sets")
     found = components(confirm(sets, limit)).withColumnRenamed("node", "class")
     least = found.join(classes.select("class", "first"), "class").groupBy("label").agg(F.min("first").alias("least"))
