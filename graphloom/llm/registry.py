@@ -11,16 +11,20 @@ from .decontamination import op9_decontamination
 from .license_scan import op8_license_scan
 from .line_dedup import op2_line_dedup
 from .lm_scoring import op3_lm_scoring
+from .media import op6_media_columns
 from .mixing import op5_mixing
 from .near_dedup import op7_near_dedup
 from .pii import op10_pii
+from .quality import op1_quality_classifier
 from .url_filter import op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_url_filter": op4_url_filter,
     "op5_mixing": op5_mixing,
+    "op6_media_columns": op6_media_columns,
     "op7_near_dedup": op7_near_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
