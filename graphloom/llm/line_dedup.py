@@ -60,6 +60,14 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
     return out.select(*pages.columns, "n_lines", "n_dropped")
 
 
+def cleaned(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """docs without boilerplate lines; n_chars follows the text."""
+    out = dedup_lines(docs, host, text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_lines(docs).select("doc_id", "source", "n_lines", "n_dropped", "text")

@@ -350,5 +350,17 @@ def near_duplicates(docs: DataFrame, limit: int = GROUP, bucket: int = BUCKET) -
     return out.select("doc_id", "n_shingles", lone.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicated(docs: DataFrame, limit: int = GROUP, bucket: int = BUCKET) -> DataFrame:
+    """docs with one document of each group: the one of the smallest doc_id; of rows that repeat it with the same text, one."""
+    kept = shared.materialise(near_duplicates(docs, limit, bucket).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    own = kept.select(F.col("doc_id").alias("__id"))
+    out = docs.join(own, docs["doc_id"].eqNullSafe(own["__id"]), "left_semi")
+    repeated = kept.where("n > 1").select(F.col("doc_id").alias("__id"))
+    if not repeated.limit(1).count():
+        return out
+    same = out["doc_id"].eqNullSafe(repeated["__id"])
+    return out.join(repeated, same, "left_anti").union(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
