@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bounded_int, evidence, is_definition, like, parse_metadata
 from ..schema import CALL_TYPES, EDGE_TYPES, NEIGHBOURHOOD_TYPES
+from ..session import shared_folder
 
 
 def _limited(df: DataFrame, limit: int) -> DataFrame:
@@ -32,6 +33,7 @@ class Graph:
     edges: DataFrame
     occurrences: DataFrame | None = None
     meta: DataFrame | None = None
+    edges_by_dst: DataFrame | None = None  # the same edges, stored by destination
 
     @property
     def spark(self) -> SparkSession:
@@ -39,6 +41,15 @@ class Graph:
 
     # Pieces
 
+    def id_of(self, scip_symbol: str) -> int:
+        """A symbol's id, -1 if it is not known: looked up first, so that filters on it reach the stored tables as literals."""
+        found = self.symbols.where(F.col("scip_symbol") == scip_symbol).select("id").first()
+        return -1 if found is None else found["id"]
+
+    def _side(self, near: str) -> DataFrame:
+        """The edges, in the layout that skips most when asked for this end."""
+        return self.edges_by_dst if near == "dst_id" and self.edges_by_dst is not None else self.edges
+
     def _id(self, scip_symbol: str, out: str = "node") -> DataFrame:
         """One row at most: the id of a symbol."""
         return F.broadcast(self.symbols.where(F.col("scip_symbol") == scip_symbol).select(F.col("id").alias(out)).limit(1))
@@ -46,15 +57,16 @@ class Graph:
     def _paths(self, file_id: str) -> DataFrame:
         return self.files.select(F.col("id").alias(file_id), F.col("path"))
 
-    def _calls(self, types: tuple[str, ...] = CALL_TYPES) -> DataFrame:
-        return self.edges.where(F.col("type").isin(*types)).select("src_id", "dst_id", F.col("type").alias("edge_type"), "line", "file_id")
+    def _calls(self, near: str = "src_id", types: tuple[str, ...] = CALL_TYPES) -> DataFrame:
+        return self._side(near).where(F.col("type").isin(*types)).select("src_id", "dst_id", F.col("type").alias("edge_type"), "line", "file_id")
 
     def _walk(self, scip_symbol: str, depth: int, near: str, far: str) -> DataFrame:
         """Each step of each walk of up to depth edges away from a symbol, with its end as ``node``."""
-        edges = self._calls().withColumnsRenamed({near: "near", far: "far"})
-        step, levels = self._id(scip_symbol, "near"), []
+        edges = self._calls(near).withColumnsRenamed({near: "near", far: "far"})
+        step, levels = None, []
         for level in range(1, max(depth, 1) + 1):
-            step = edges.join(step, "near").select(F.lit(level).alias("depth"), F.col("far").alias("node"), "edge_type", "line", "file_id")
+            hop = edges.where(F.col("near") == self.id_of(scip_symbol)) if step is None else edges.join(step, "near")
+            step = hop.select(F.lit(level).alias("depth"), F.col("far").alias("node"), "edge_type", "line", "file_id")
             levels.append(step)
             # walks that end in the same node go on alike, but each of them counts
             step = step.select(F.col("node").alias("near"))
@@ -62,11 +74,12 @@ class Graph:
 
     def _reach(self, scip_symbol: str, depth: int, near: str, far: str) -> DataFrame:
         """(node, depth): the least number of edges to each node; the symbol itself is at 0."""
-        edges = self._calls().select(F.col(near).alias("near"), F.col(far).alias("far")).distinct()
-        seen = self._id(scip_symbol).withColumn("depth", F.lit(0))
-        front = seen
+        edges = self._calls(near).select(F.col(near).alias("near"), F.col(far).alias("far"))
+        start = self.id_of(scip_symbol)
+        front = seen = self.spark.range(start, start + 1).select(F.col("id").alias("node"), F.lit(0).alias("depth"))
         for level in range(1, max(depth, 1) + 1):
-            new = edges.join(front.select(F.col("node").alias("near")), "near").select(F.col("far").alias("node")).distinct()
+            hop = edges.where(F.col("near") == start) if level == 1 else edges.join(front.select(F.col("node").alias("near")), "near")
+            new = hop.select(F.col("far").alias("node")).distinct()
             front = new.join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
             seen = seen.union(front)
         return seen
@@ -96,19 +109,20 @@ class Graph:
     def call_path_arrivals(self, source: str, target: str, max_len: int = 10) -> DataFrame:
         """A row per arrival of a walk at the target, first the shortest, max_len rows at most; walks stop at the target."""
         edges, levels = self._calls(), []
-        goal = self._id(target, "goal")
-        step = self._id(source, "src_id")
+        start, goal, step = self.id_of(source), self.id_of(target), None
         for level in range(1, max_len + 1):
-            step = edges.join(step, "src_id").select(F.lit(level).alias("depth"), F.col("dst_id").alias("node"), "edge_type", "line")
-            levels.append(step)
-            step = step.join(goal, F.col("node") == F.col("goal"), "left_anti").select(F.col("node").alias("src_id"))
-        rows = reduce(DataFrame.union, levels).join(goal, F.col("node") == F.col("goal"))
+            hop = edges.where(F.col("src_id") == start) if step is None else edges.join(step, "src_id")
+            step = hop.select(F.lit(level).alias("depth"), F.col("dst_id").alias("node"), "edge_type", "line")
+            levels.append(step.where(F.col("node") == goal))
+            step = step.where(F.col("node") != goal).select(F.col("node").alias("src_id"))
+        rows = reduce(DataFrame.union, levels)
         to = self.symbols.select(F.col("id").alias("node"), "scip_symbol", "name", "kind", F.col("def_file_id").alias("file_id"))
         named = rows.join(to, "node").join(self._paths("file_id").withColumnRenamed("path", "file_path"), "file_id", "left")
         return _limited(named.orderBy(*_first("depth", "line", "edge_type")).select("scip_symbol", "name", "kind", "file_path", "line", "edge_type", "depth"), max_len)
 
     def call_path(self, source: str, target: str, max_len: int = 10) -> DataFrame:
         """A shortest path, node by node: levels outwards that keep each node once with the edge it was reached by, then back."""
+        shared_folder(self.spark)  # where levels are kept, so that none is computed twice
         edges = self._calls()
         ids = {r["scip_symbol"]: r["id"] for r in self.symbols.where(F.col("scip_symbol").isin(source, target)).select("scip_symbol", "id").collect()}
         empty = self.spark.createDataFrame([], "depth int, scip_symbol string, name string, kind string, file_path string, line int, edge_type string")
@@ -119,7 +133,7 @@ class Graph:
         for _ in range(max_len):
             reached = edges.join(front.withColumnRenamed("node", "src_id"), "src_id").groupBy(F.col("dst_id").alias("node")).agg(F.min(F.struct("src_id", "line", "edge_type")).alias("by"))
             # the target may be the source: then a cycle is the path
-            new = reached.join(seen.where(F.col("node") != ids[target]), "node", "left_anti")
+            new = reached.join(seen.where(F.col("node") != ids[target]), "node", "left_anti").checkpoint()
             levels.append(new)
             hit = new.where(F.col("node") == ids[target]).limit(1).collect()
             if hit or not new.limit(1).count():
@@ -141,7 +155,7 @@ class Graph:
     def first_callers(self) -> DataFrame:
         """(dst_id, by): of each symbol the calling edge of the smallest line."""
         order = F.struct(F.coalesce("line", F.lit(-(1 << 31))), "edge_ord")
-        return self.edges.where(F.col("type").isin(*CALL_TYPES)).groupBy("dst_id").agg(F.min_by(F.struct("src_id", "file_id", "line"), order).alias("by"))
+        return self._side("dst_id").where(F.col("type").isin(*CALL_TYPES)).groupBy("dst_id").agg(F.min_by(F.struct("src_id", "file_id", "line"), order).alias("by"))
 
     def get_callchain(self, scip_symbol: str, max_depth: int = 20) -> DataFrame:
         """Upwards from a symbol, each time to the caller of the smallest line; ends without one or at a node of the chain."""
@@ -159,12 +173,12 @@ class Graph:
     # One hop
 
     def find_type_definition(self, scip_symbol: str) -> DataFrame:
-        hop = self.edges.where("type = 'type_of'").join(self._id(scip_symbol, "src_id"), "src_id").select(F.col("dst_id").alias("id"))
+        hop = self.edges.where((F.col("type") == "type_of") & (F.col("src_id") == self.id_of(scip_symbol))).select(F.col("dst_id").alias("id"))
         to = self.symbols.select("id", F.col("scip_symbol").alias("type_symbol"), F.col("name").alias("type_name"), F.col("kind").alias("type_kind"), "signature", F.col("def_file_id").alias("file_id"), "def_start_line", "def_end_line")
         return hop.join(to, "id").join(self._paths("file_id").withColumnRenamed("path", "def_file_path"), "file_id", "left").select("type_symbol", "type_name", "type_kind", "signature", "def_file_path", "def_start_line", "def_end_line").orderBy("type_symbol")
 
     def struct_fields(self, scip_symbol: str) -> DataFrame:
-        hop = self.edges.where("type = 'contains'").join(self._id(scip_symbol, "src_id"), "src_id").select(F.col("dst_id").alias("id"))
+        hop = self.edges.where((F.col("type") == "contains") & (F.col("src_id") == self.id_of(scip_symbol))).select(F.col("dst_id").alias("id"))
         return hop.join(self.symbols, "id").select("scip_symbol", "name", "kind", "signature", "def_start_line").orderBy(*_first("def_start_line", "scip_symbol"))
 
     def get_struct_layout(self, scip_symbol: str) -> DataFrame:
@@ -231,8 +245,10 @@ class Graph:
 
     def _touching(self, front: list[int], types: list[str]) -> DataFrame:
         """Edges of these types with an end in the front, of 500 nodes at most: two pushed-down filters, each edge once."""
-        of = self.edges.where(F.col("type").isin(types)).select("edge_ord", "src_id", "dst_id", "type")
-        return of.where(F.col("src_id").isin(front) | F.col("dst_id").isin(front))
+        columns = ["edge_ord", "src_id", "dst_id", "type"]
+        out = self._side("src_id").where(F.col("type").isin(types) & F.col("src_id").isin(front)).select(columns)
+        back = self._side("dst_id").where(F.col("type").isin(types) & F.col("dst_id").isin(front) & ~F.col("src_id").isin(front)).select(columns)
+        return out.union(back)
 
     # Lookups
 
@@ -248,7 +264,7 @@ class Graph:
         return rows.select("scip_symbol", "name", "kind", "def_file_path", "def_start_line", "def_end_line")
 
     def find_references(self, scip_symbol: str, limit: int = 200) -> DataFrame:
-        rows = self.occurrences.join(self._id(scip_symbol, "symbol_id"), "symbol_id").join(self._paths("file_id").withColumnRenamed("path", "file_path"), "file_id")
+        rows = self.occurrences.where(F.col("symbol_id") == self.id_of(scip_symbol)).join(self._paths("file_id").withColumnRenamed("path", "file_path"), "file_id")
         by = self.symbols.select(F.col("id").alias("enclosing_symbol_id"), F.col("name").alias("enclosing_name"), F.col("kind").alias("enclosing_kind"), F.col("scip_symbol").alias("enclosing_symbol"))
         rows = rows.join(by, "enclosing_symbol_id", "left").withColumn("is_definition", is_definition(F.col("role")))
         out = rows.orderBy("file_path", "start_line", "id").select("file_path", "start_line", "start_col", "end_line", "end_col", "role", "enclosing_name", "enclosing_kind", "enclosing_symbol", "is_definition")

@@ -106,12 +106,12 @@ def g3_call_path(spark: SparkSession, d: str) -> DataFrame:
     SELECT c.depth, s.scip_symbol, s.name, s.kind, f.path AS file_path, c.line FROM c JOIN g_symbols s ON s.id = c.node LEFT JOIN g_files f ON f.id = c.file_id"""
 )
 def g4_get_callchain(spark: SparkSession, d: str) -> DataFrame:
-    return graph(spark, d, ordered=True).get_callchain(CUSTOMER, 8)
+    return graph(spark, d).get_callchain(CUSTOMER, 8)
 
 
 @_query(f"SELECT edge_ord, src_id, dst_id, type, line FROM g_edges WHERE src_id = {_id(CUSTOMER)} OR dst_id = {_id(CUSTOMER)}")
 def g5_neighborhood(spark: SparkSession, d: str) -> DataFrame:
-    found = graph(spark, d, ordered=True).get_neighborhood(CUSTOMER, 1, None, 500, 1000)
+    found = graph(spark, d).get_neighborhood(CUSTOMER, 1, None, 500, 1000)
     rows = [(e["edge_ord"], e["src_id"], e["dst_id"], e["type"], e["line"]) for e in found["edges"]]
     return spark.createDataFrame(rows, "edge_ord long, src_id long, dst_id long, type string, line int")
 
@@ -139,7 +139,7 @@ def g8_find_ops_impls(spark: SparkSession, d: str) -> DataFrame:
 
 # Lookups
 
-_SCORE = """WITH toks AS (SELECT doc_id AS doc, c, list_transform(regexp_extract_all(strip_accents(lower(coalesce(x, ''))), '[\\p{L}\\p{N}]+'), y -> y) AS t FROM (SELECT doc_id, unnest(['text', 'lang', 'source']) AS c, unnest([text, lang, source]) AS x FROM documents)),
+_SCORE = """WITH toks AS (SELECT doc_id AS doc, c, regexp_extract_all(strip_accents(lower(coalesce(x, ''))), '[\\p{L}\\p{N}]+') AS t FROM (SELECT doc_id, unnest(['text', 'lang', 'source']) AS c, unnest([text, lang, source]) AS x FROM documents)),
 post AS (SELECT doc, c, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM toks), sizes AS (SELECT doc, sum(len(t)) AS size FROM toks GROUP BY doc),
 stats AS (SELECT count(*) AS total, avg(size) AS mean FROM sizes),
 p1 AS (SELECT a.doc, count(*) AS f FROM post a JOIN post b ON a.doc = b.doc AND a.c = b.c AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the' GROUP BY a.doc),
@@ -194,7 +194,7 @@ def l11_rank_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT e.* FROM g_edges e WHERE src_id IN (SELECT id FROM g_symbols WHERE kind = 'function' AND def_start_line < 200) AND dst_id IN (SELECT id FROM g_symbols WHERE kind = 'function' AND def_start_line < 200)")
 def l12_edges_between(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d, ordered=True)
+    g = graph(spark, d)
     return g.edges_between(g.symbols.where("kind = 'function' and def_start_line < 200"))
 
 
@@ -425,7 +425,7 @@ def _touched(g: Graph) -> DataFrame:
 
 @_query("SELECT edge_ord, src_id, dst_id, type FROM g_edges WHERE file_id % 5 <> 0")
 def u2_delete_file_edges(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d, ordered=True)
+    g = graph(spark, d)
     return incremental.delete_file_records({"symbols": g.symbols, "edges": g.edges, "occurrences": g.occurrences}, _touched(g))["edges"].select("edge_ord", "src_id", "dst_id", "type")
 
 
@@ -437,7 +437,7 @@ def u2_delete_file_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT src_id, dst_id, type, line FROM g_edges e WHERE NOT (type = 'contains' AND dst_id IN (SELECT id FROM g_symbols WHERE def_file_id % 5 = 0)) UNION ALL SELECT o.id, p.id, 'contains', p.def_start_line FROM g_symbols p JOIN g_symbols o ON o.scip_symbol = p.enclosing_symbol WHERE p.kind = 'field' AND p.def_file_id % 5 = 0")
 def u4_scoped_contains(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d, ordered=True)
+    g = graph(spark, d)
     rest, again = incremental.scoped_contains_recovery(g.symbols, g.edges, _touched(g))
     columns = ["src_id", "dst_id", "type", "line"]
     return rest.select(columns).union(again.select(columns))
@@ -445,7 +445,7 @@ def u4_scoped_contains(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT edge_ord, src_id, dst_id, type FROM g_edges WHERE NOT (dst_id IN (SELECT id FROM g_symbols WHERE id % 3 = 0) AND NOT EXISTS (SELECT 1 FROM g_occurrences o WHERE o.symbol_id = dst_id AND o.role & 1 = 1))")
 def u5_scoped_gc(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d, ordered=True)
+    g = graph(spark, d)
     return incremental.scoped_gc(g.edges, g.occurrences, g.symbols.where("id % 3 = 0").select("id")).select("edge_ord", "src_id", "dst_id", "type")
 
 

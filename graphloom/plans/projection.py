@@ -6,11 +6,15 @@ tables exist as SQL, for the checks.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
+from ..session import shared_folder
 from .ordinals import numbered
+from .store import Store
 
 _FUNCTION, _STRUCT, _FIELD = 1_000_000_000, 2_000_000_000, 3_000_000_000
 
@@ -63,7 +67,7 @@ def following_orders(orders: DataFrame) -> DataFrame:
     return orders.withColumn("nxt", F.lead("o_custkey").over(day)).join(first, "o_orderdate").withColumn("nxt", F.coalesce("nxt", "later")).drop("later")
 
 
-def edges(t: Tables, ordered: bool = True) -> DataFrame:
+def edges(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
     fn, st, fd = (lambda c: F.col(c) + _FUNCTION), (lambda c: F.col(c) + _STRUCT), (lambda c: F.col(c) + _FIELD)
     by = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
@@ -78,10 +82,7 @@ def edges(t: Tables, ordered: bool = True) -> DataFrame:
     for part in (bind, contains, references, types):
         rows = rows.union(part.distinct())
     rows = rows.join(symbols(t).select(F.col("id").alias("src_id"), F.col("def_file_id").alias("file_id")), "src_id")
-    if ordered:
-        rows = numbered(rows, ["src_id", "dst_id", "type", "line"], "edge_ord")
-    else:
-        rows = rows.withColumn("edge_ord", F.lit(None).cast("long"))
+    rows = numbered(rows, ["src_id", "dst_id", "type", "line"], "edge_ord")
     return rows.select("edge_ord", "src_id", "dst_id", "type", "file_id", "line", F.lit(1).alias("weight"), F.lit(1.0).alias("confidence"), "metadata")
 
 
@@ -96,10 +97,29 @@ def meta(t: Tables) -> DataFrame:
     return t.region.select(F.lower("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value"))
 
 
-def graph(spark: SparkSession, sf_dir: str, ordered: bool = False) -> Graph:
-    """ordered: with edge_ord, for the operators that order by it."""
-    t = Tables(spark, sf_dir)
-    return Graph(files(t), symbols(t), edges(t, ordered), occurrences(t), meta(t))
+_stores: dict[tuple[str, str], Graph] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of a folder of tables, ingested once per application into a store; queries read the store."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        t = Tables(spark, sf_dir)
+        store = Store(spark, f"{shared_folder(spark)}/graphloom/graph-{uuid.uuid4().hex}")
+        store.write(build(t), with_search=False)
+        _stores[key] = store.graph()
+    return _stores[key]
+
+
+def build(t: Tables) -> dict[str, DataFrame]:
+    none = F.lit(None).cast("string")
+    return {
+        "files": files(t).select("id", "path", none.alias("language"), none.alias("subsystem"), none.alias("sha")),
+        "symbols": symbols(t).withColumn("subsystem", none),
+        "edges": edges(t),
+        "occurrences": occurrences(t),
+        "meta": meta(t),
+    }
 
 
 SQL = """

@@ -62,10 +62,14 @@ class Store:
             df.repartitionByRange(by).sortWithinPartitions(by).write.parquet(f"{self.root}/{snapshot}/{name}")
 
         for name, schema in TABLES.items():
+            # first as it comes, so that sampling the ranges does not derive it twice
             df = tables[name].select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+            df.write.parquet(f"{self.root}/{snapshot}/.{name}")
+            df = self.spark.read.schema(schema).parquet(f"{self.root}/{snapshot}/.{name}")
             put(name, df)
             if name == "edges":
-                put("edges_by_dst", self.spark.read.schema(schema).parquet(f"{self.root}/{snapshot}/edges"))
+                put("edges_by_dst", df)
+            self._fs.delete(self._path(snapshot, f".{name}"), True)
         if with_search:
             found = search.index(self.spark.read.schema(TABLES["symbols"]).parquet(f"{self.root}/{snapshot}/symbols"))
             put("postings", found.postings)
@@ -92,7 +96,7 @@ class Store:
 
     def graph(self, snapshot: str | None = None) -> Graph:
         at = snapshot or self.current()
-        return Graph(**{name: self.table(name, at) for name in ("files", "symbols", "edges", "occurrences", "meta")})
+        return Graph(**{name: self.table(name, at) for name in ("files", "symbols", "edges", "occurrences", "meta", "edges_by_dst")})
 
     def search_index(self, snapshot: str | None = None) -> SearchIndex:
         return SearchIndex(self.table("postings", snapshot), self.table("documents", snapshot))

@@ -11,6 +11,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The URI of the folder that all executors share: spark.checkpoint.dir, or where none is set (on one machine) a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or _own.get("dir", "")
+    if not base:
+        base = _own["dir"] = tempfile.mkdtemp(prefix="graphloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
 
 
 def ship(spark: SparkSession) -> None:
