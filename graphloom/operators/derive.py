@@ -15,6 +15,7 @@ from ..functions.scalars import is_definition, is_ops_table, kind_of_number, lan
 from ..functions.symbols import parse_symbol
 from ..plans.ordinals import numbered
 from ..schema import DEFAULT_KIND
+from ..session import materialise
 
 BUCKET = 64
 
@@ -151,7 +152,7 @@ def reference_edges(occurrences: DataFrame, infos: DataFrame) -> DataFrame:
         return out.withColumns({f"{prefix}_kind": kind, f"{prefix}_name": name}).drop("__k")
 
     points = occurrences.where(~is_definition(F.col("role"))).select(F.struct("doc_ord", "occ_ord").alias("point"), "doc_ord", "occ_ord", "path", "symbol", F.col("sl").alias("line"))
-    held = enclosing(points, definition_ranges(occurrences)).where("encloser is not null")
+    held = materialise(enclosing(points, definition_ranges(occurrences)).where("encloser is not null").drop("point"), "enclosed")
     held = with_known(with_known(held, "symbol", "to"), "encloser", "from")
     kind = F.when(F.col("to_kind").isin("function", "method"), "calls").when(F.col("to_kind") == "macro", "macro_expands").otherwise("references")
     bind = F.col("from_kind").isin("struct", "global_var") & is_ops_table(F.col("from_name")) & F.col("to_kind").isin("function", "method")
@@ -218,17 +219,19 @@ def build(index: DataFrame, resolve: str = "ordered", qualify_locals: bool = Fal
     resolve: ``ordered`` drops what names a symbol that only a later document brings, as one pass over the file
     would; ``global`` keeps it.
     """
-    infos = symbol_infos(index, qualify_locals)
-    occs = occurrence_rows(index, qualify_locals)
+    infos = materialise(symbol_infos(index, qualify_locals), "infos")
+    occs = materialise(occurrence_rows(index, qualify_locals), "occurrences")
 
     # metadata and external symbols count as a file without a path
     paths = index.groupBy(F.col("relative_path").alias("path")).agg(F.min_by(F.struct("doc_ord", "language"), "doc_ord").alias("f"))
     files = numbered(paths.select("path", language(F.col("f.language")).alias("language"), F.col("f.doc_ord").alias("o")), ["o", "path"], "id").select("id", "path", "language", F.lit(None).cast("string").alias("subsystem"), F.lit(None).cast("string").alias("sha"))
+    files = materialise(files, "files")
     file_ids = files.select(F.col("id").alias("file_id"), "path")
 
     firsts = numbered(upsert_symbols(infos, definition_lines(occs, infos)), ["first_doc", "sym_ord"], "id")
     with_file = firsts.join(file_ids.where("path != ''"), "path", "left")
     symbols = with_file.select("id", "scip_symbol", "name", "kind", "signature", "documentation", F.when(~F.col("is_external"), F.col("file_id")).alias("def_file_id"), "def_start_line", "def_end_line", "is_external", F.lit(None).cast("string").alias("subsystem"), "enclosing_symbol", "first_doc")
+    symbols = materialise(symbols, "symbols")
 
     known = symbols.select(F.col("id").alias("kid"), "scip_symbol", "first_doc")
 
@@ -246,7 +249,7 @@ def build(index: DataFrame, resolve: str = "ordered", qualify_locals: bool = Fal
     occurrences = numbered(placed, ["doc_ord", "occ_ord"], "id").select("id", "symbol_id", "file_id", F.col("sl").alias("start_line"), F.col("sc").alias("start_col"), F.col("el").alias("end_line"), F.col("ec").alias("end_col"), "role", "enclosing_symbol_id")
 
     raw = reference_edges(occs, infos).unionByName(relationship_edges(infos)).unionByName(contains_edges(occs, infos))
-    raw = resolved(resolved(raw, "src", "src_id"), "dst", "dst_id").join(file_ids.where("path != ''"), "path", "left")
+    raw = materialise(resolved(resolved(raw, "src", "src_id"), "dst", "dst_id").join(file_ids.where("path != ''"), "path", "left"), "edges")
     recovered = recovered_contains(symbols).withColumns({"doc_ord": F.lit(1 << 62) + F.floor(F.col("src_id") / 4096), "step": F.lit(5), "ord": F.lit(0), "part": F.lit(0)})
     columns = ["src_id", "dst_id", "type", "file_id", "line", "metadata", "doc_ord", "step", "ord", "part"]
     edges = dedupe_edges(raw.select(columns).unionByName(recovered.select(columns)), dedupe_null_file)

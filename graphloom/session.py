@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
@@ -24,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
 
 
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: what several plans read is computed once and outlives executors."""
+    at = f"{shared_folder(df.sparkSession)}/graphloom/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Python workers can import it."""
     sc = spark.sparkContext

@@ -18,6 +18,7 @@ from ..operators.metrics import rebuilt_fraction
 from ..plans.ordinals import numbered
 from ..plans.store import Store
 from ..schema import EDGES, OCCURRENCES
+from ..session import materialise
 from ..sources import files as inputs
 
 Tables = dict[str, DataFrame]
@@ -55,13 +56,13 @@ def scoped_gc(edges: DataFrame, occurrences: DataFrame, candidates: DataFrame) -
 
 def apply_changes(base: Tables, index: DataFrame) -> Tables:
     """The tables after the documents of index (partial) have replaced their former state."""
-    infos, occs = derive.symbol_infos(index), derive.occurrence_rows(index)
+    infos, occs = materialise(derive.symbol_infos(index), "infos"), materialise(derive.occurrence_rows(index), "occurrences")
     paths = index.where("part = 'document'").groupBy(F.col("relative_path").alias("path")).agg(F.min_by(F.struct("doc_ord", "language"), "doc_ord").alias("f"))
     old_files = base["files"]
     most = lambda df, c: df.agg(F.coalesce(F.max(c), F.lit(0)).alias("__most"))
     fresh = paths.join(old_files, "path", "left_anti").select("path", derive.language(F.col("f.language")).alias("language"))
     fresh = numbered(fresh, ["path"], "__n").crossJoin(F.broadcast(most(old_files, "id")))  # one row
-    files = old_files.unionByName(fresh.select((F.col("__most") + F.col("__n")).alias("id"), "path", "language", F.lit(None).cast("string").alias("subsystem"), F.lit(None).cast("string").alias("sha")))
+    files = materialise(old_files.unionByName(fresh.select((F.col("__most") + F.col("__n")).alias("id"), "path", "language", F.lit(None).cast("string").alias("subsystem"), F.lit(None).cast("string").alias("sha"))), "files")
     touched = old_files.join(paths, "path", "left_semi").select(F.col("id").alias("file_id"))
 
     candidates = base["symbols"].join(touched.withColumnRenamed("file_id", "def_file_id"), "def_file_id", "left_semi").select("id")
@@ -76,7 +77,7 @@ def apply_changes(base: Tables, index: DataFrame) -> Tables:
     old = old.withColumns({"def_start_line": F.when(fill, F.col("__start")).otherwise(F.col("def_start_line")), "def_end_line": F.when(fill, F.col("__end")).otherwise(F.col("def_end_line")), "def_file_id": F.when(fill, F.col("__file")).otherwise(F.col("def_file_id"))})
     added = numbered(new.join(base["symbols"], "scip_symbol", "left_anti"), ["first_doc", "sym_ord"], "__n").crossJoin(F.broadcast(most(base["symbols"], "id")))  # one row
     added = added.select((F.col("__most") + F.col("__n")).alias("id"), "scip_symbol", "name", "kind", "signature", "documentation", F.col("file_id").alias("def_file_id"), "def_start_line", "def_end_line", "is_external", F.lit(None).cast("string").alias("subsystem"), "enclosing_symbol")
-    symbols = old.select(base["symbols"].columns).unionByName(added)
+    symbols = materialise(old.select(base["symbols"].columns).unionByName(added), "symbols")
     known = symbols.select(F.col("id").alias("__id"), "scip_symbol")
 
     def resolved(df: DataFrame, column: str, out: str, how: str = "inner") -> DataFrame:
@@ -87,7 +88,7 @@ def apply_changes(base: Tables, index: DataFrame) -> Tables:
     placed = resolved(resolved(placed, "symbol", "symbol_id"), "encloser", "enclosing_symbol_id", "left").join(file_ids, "path")
     placed = numbered(placed, ["doc_ord", "occ_ord"], "__n").crossJoin(F.broadcast(most(less["occurrences"], "id")))  # one row
     placed = placed.select((F.col("__most") + F.col("__n")).alias("id"), "symbol_id", "file_id", F.col("sl").alias("start_line"), F.col("sc").alias("start_col"), F.col("el").alias("end_line"), F.col("ec").alias("end_col"), "role", "enclosing_symbol_id")
-    occurrences = less["occurrences"].select(OCCURRENCES.names).unionByName(placed)
+    occurrences = materialise(less["occurrences"].select(OCCURRENCES.names).unionByName(placed), "occurrences")
 
     raw = derive.reference_edges(occs, infos).unionByName(derive.relationship_edges(infos)).unionByName(derive.contains_edges(occs, infos))
     raw = resolved(resolved(raw, "src", "src_id"), "dst", "dst_id").join(file_ids.where("path != ''"), "path", "left")
@@ -95,7 +96,7 @@ def apply_changes(base: Tables, index: DataFrame) -> Tables:
     columns = ["src_id", "dst_id", "type", "file_id", "line", "metadata", "doc_ord", "step", "ord", "part"]
     recovered = recovered.withColumns({"doc_ord": F.lit(1 << 62), "step": F.lit(5), "ord": F.lit(0), "part": F.lit(0)})
     held = rest.select("src_id", "dst_id", "type", "file_id", "line", "metadata", F.lit(-1).cast("long").alias("doc_ord"), F.lit(0).alias("step"), F.col("edge_ord").alias("ord"), F.lit(0).alias("part"))
-    edges = derive.dedupe_edges(held.unionByName(raw.select(columns)).unionByName(recovered.select(columns)))
+    edges = materialise(derive.dedupe_edges(held.unionByName(raw.select(columns)).unionByName(recovered.select(columns))), "edges")
     kept = rest.join(edges.where("doc_ord = -1").select(F.col("ord").alias("edge_ord")), "edge_ord", "left_semi").select(EDGES.names)
     grown = numbered(edges.where("doc_ord != -1"), ["doc_ord", "step", "ord", "part", "src_id", "dst_id", "type"], "__n").crossJoin(F.broadcast(most(base["edges"], "edge_ord")))  # one row
     grown = grown.select((F.col("__most") + F.col("__n")).alias("edge_ord"), "src_id", "dst_id", "type", "file_id", "line", F.lit(1).alias("weight"), F.lit(1.0).alias("confidence"), "metadata")
