@@ -249,7 +249,8 @@ def _judge(parts: list, benchmark: Benchmark) -> tuple[np.ndarray, np.ndarray, l
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep, n_words, n_hit, items (their ids, sorted) and spans (merged UTF-8 byte ranges of hit words) of each row of docs."""
     benchmark = Benchmark(items)
-    plain = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
+    column = text if text in keep else "__text"  # a text that is kept travels once
+    plain = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).cast("binary").alias("__text"))
 
     def judged(lines: list[pa.RecordBatch], parts: list, places: list) -> pa.RecordBatch:
         sizes, n_hit, names, hit = _judge(parts, benchmark)
@@ -266,13 +267,14 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str
                 spans.append([])
             at += n
         rows = pa.Table.from_batches(lines).combine_chunks().to_batches()[0]
+        lines.clear()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, kind)], [*keep, "n_words", "n_hit", "items", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, parts, places, n = [], [], [], 0
         for batch in batches:
-            for piece in pieces(batch.column("__text"), ALNUM):
+            for piece in pieces(batch.column(column), ALNUM):
                 parts.append((piece.hashes(), piece.sizes))
                 shift = np.repeat(piece.bounds[:-1], piece.sizes)
                 places.append(((piece.starts - shift).astype(np.int32), (piece.ends - shift).astype(np.int32)))
