@@ -351,7 +351,10 @@ def near_duplicates(docs: DataFrame, limit: int = GROUP, bucket: int = BUCKET) -
 
 
 def deduplicated(docs: DataFrame, limit: int = GROUP, bucket: int = BUCKET) -> DataFrame:
-    """docs with one document of each group: the one of the smallest doc_id; of rows that repeat it with the same text, one."""
+    """docs with one document of each group: the one of the smallest doc_id; of rows that repeat it with the same text, one.
+
+    Rows of a null id cannot be told apart by it: they stay if one of them does.
+    """
     kept = shared.materialise(near_duplicates(docs, limit, bucket).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
     own = kept.select(F.col("doc_id").alias("__id"))
     out = docs.join(own, docs["doc_id"].eqNullSafe(own["__id"]), "left_semi")
