@@ -12,6 +12,7 @@ from .operators import rollup, search
 from .operators.graph import Graph
 from .operators.search import SearchIndex
 from .schema import EDGE_TYPES
+from .sources import files
 
 
 class NotFound(LookupError):
@@ -74,6 +75,17 @@ class Tools:
         types = tuple(t.strip() for t in edge_types.split(",") if t.strip()) or None
         return self.graph.get_neighborhood(self._need(name), depth, types)
 
+    def get_function_body(self, root: str, name: str, kind: str | None = None, context: int = 0) -> str:
+        """The numbered source lines of the first defined symbol of that name; of a stale file what follows the name."""
+        for r in self.graph.get_symbol(name, kind).collect():
+            if r["def_file_path"] and r["def_start_line"] is not None and r["def_start_line"] >= 0:
+                lines = files.source_lines(self.graph.spark, root, r["def_file_path"])
+                status = files.work_tree_status(root, r["def_file_path"])
+                found = files.source_grep(lines, name) if status else files.source_range(lines, r["def_start_line"], r["def_end_line"], context).select("line", files.number_line(F.col("line"), F.col("text")).alias("text"))
+                body = "\n".join(x["text"] for x in found.collect())
+                return body + (f"\n[{status.strip() or 'changed'}: shown as it is now]" if status else "")
+        raise NotFound(name)
+
     def index_status(self) -> dict:
         return {r["key"]: r["value"] for r in self.graph.get_metadata().collect()} | {"edges": {r["type"]: r["n"] for r in rollup.edge_counts(self.graph.edges).collect()}}
 

@@ -3,7 +3,9 @@ import json
 import pytest
 
 from graphloom import api
+from graphloom.plans import reports
 from graphloom.plans.store import ingest
+from graphloom.sources import files as sources
 from tests import fixture as fx
 
 
@@ -37,3 +39,19 @@ def test_requests(tools):
     assert ask("/api/search", q="foo(")[0] == 400
     assert ask("/api/none")[0] == 404
     assert len(json.loads(ask("/api/file-symbols", path="fs/read_write.c")[1])) == 2
+
+
+def test_function_body(tools, tmp_path):
+    (tmp_path / "fs").mkdir()
+    (tmp_path / "fs" / "read_write.c").write_text("".join(f"line {i}\n" for i in range(300)))
+    body = tools.get_function_body(str(tmp_path), "vfs_read")
+    assert body.splitlines()[0] == "   201\tline 200"
+    assert len(body.splitlines()) == 31
+
+
+def test_written_views(tools, tmp_path):
+    manifest = reports.bake(tools.graph, str(tmp_path), "read_iter", "ext4_file_read_iter", "ext4_file_operations", "vfs_read")
+    assert [m["count"] for m in manifest] == [1, 2, 3, 2]
+    row = reports.health(tools.graph, str(tmp_path), ts="2024-01-01", head="abc", buildable=True)
+    assert row["symbols"] == 13 and not row["benchmark_ok"]
+    assert sources.metrics_rows(tools.graph.spark, str(tmp_path / "metrics.jsonl")).first()["ops_bind"] == 3
