@@ -59,7 +59,7 @@ def write_compile_commands(entries: DataFrame, path: str) -> int:
 
 def source_lines(spark: SparkSession, root: str, path: str = "**") -> DataFrame:
     """(path, line, text), lines from 0; undecodable bytes are replaced."""
-    rows = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{path}").select("path", F.decode("content", F.lit("UTF-8")).alias("t"))
+    rows = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{path}").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("t"))
     lines = F.split(F.regexp_replace("t", "\n$", ""), "\r?\n", -1)
     return rows.select("path", F.posexplode(lines).alias("line", "text"))
 
