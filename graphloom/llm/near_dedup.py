@@ -356,7 +356,7 @@ def deduplicated(docs: DataFrame, limit: int = GROUP, bucket: int = BUCKET) -> D
     Rows of a null id cannot be told apart by it: they stay if one of them does.
     """
     kept = shared.materialise(near_duplicates(docs, limit, bucket).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    own = kept.select(F.col("doc_id").alias("__id"))
+    own = kept.select(F.col("doc_id").alias("__id")).hint("merge")  # one strategy at every size
     out = docs.join(own, docs["doc_id"].eqNullSafe(own["__id"]), "left_semi")
     repeated = kept.where("n > 1").select(F.col("doc_id").alias("__id"))
     if not repeated.limit(1).count():
