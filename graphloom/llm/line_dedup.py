@@ -2,7 +2,8 @@
 
 Pages are grouped by host; a line is boilerplate of a host if it is on at least ``MIN_PAGES`` of its
 pages and on more than ``RATIO`` of all of them.  Boilerplate lines are dropped, blank lines and the
-order of the others stay.
+order of the others stay.  The floor is what repetition itself needs: at 2 pages, a host's one pair of
+copies would lose all its lines.  ``op2_line_dedup`` keeps the floor ``SQL_PAGES`` that its SQL names.
 
 Lines shuffle as hashes, counted before the shuffle, so neither a hot host nor a hot line gathers in
 one task.  The lines that pass number at most (lines a page) / RATIO for each host; they join
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 RATIO = 0.05
-MIN_PAGES = 10
+MIN_PAGES = 3
+SQL_PAGES = 10  # of op2_line_dedup
 BROADCAST = 200_000  # (host, line) pairs: 8 bytes a line, and the hosts' names
 
 
@@ -70,7 +72,7 @@ def cleaned(docs: DataFrame, host: str = "source", text: str = "text") -> DataFr
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup_lines(docs).select("doc_id", "source", "n_lines", "n_dropped", "text")
+    return dedup_lines(docs, min_pages=SQL_PAGES).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
 ORACLE_SQL = f"""
@@ -79,7 +81,7 @@ lines AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generat
 keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM lines),
 totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
 often AS (SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT r) AS n FROM keyed WHERE k <> '' GROUP BY source, k) c
-          JOIN totals t ON t.source IS NOT DISTINCT FROM c.source WHERE n >= {MIN_PAGES} AND n > {RATIO} * total),
+          JOIN totals t ON t.source IS NOT DISTINCT FROM c.source WHERE n >= {SQL_PAGES} AND n > {RATIO} * total),
 marked AS (SELECT l.r, l.line, l.i, o.k IS NULL AS stays FROM keyed l LEFT JOIN often o ON o.source IS NOT DISTINCT FROM l.source AND o.k = l.k),
 cleaned AS (SELECT r, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '') AS text FROM marked GROUP BY r)
 SELECT p.doc_id, p.source, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_dropped, 0) AS n_dropped,

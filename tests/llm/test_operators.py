@@ -198,6 +198,13 @@ def test_line_dedup(spark):
     assert Counter((x["doc_id"], x["text"]) for x in got) == Counter(brute.boilerplate(rows, line_dedup.RATIO, 3))
 
 
+def test_line_dedup_of_small_hosts(spark):
+    """The ratio decides on a host of few pages too; a pair of copies keeps its lines."""
+    rows = [(i, "small", "\n".join((["Footer"] if i < 3 else []) + (["twice"] if i < 2 else []) + [f"own {i}"]), 0) for i in range(8)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long")).collect()}
+    assert got == {i: ("twice\n" if i < 2 else "") + f"own {i}" for i in range(8)}
+
+
 def test_url_rules(spark):
     urls = [(1, "https://A.Example.com/en/7?x#y"), (2, "http://com/en/1"), (3, "https://a.net/de/8"), (4, "https://b.example.net/de/81/#q"), (5, "https://notcom/en/"), (6, None), (7, "no scheme casino now"), (8, "https://x.org/fr/?utm_source=feed"), (9, "https://ads.x.io/"), (10, ""), (11, "https://x.org/es/"), (11, "https://x.org/es/")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string")).collect()}
