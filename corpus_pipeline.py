@@ -12,6 +12,10 @@ from graphloom.llm import decontamination, line_dedup, mixing, near_dedup, quali
 from graphloom.session import ship
 
 
+#: Per cent of similarity; tests/llm/test_queries.py holds the stage against brute force at this level.
+NEAR = 85
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     ship(spark)
@@ -24,9 +28,9 @@ def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, at a similarity of NEAR per cent."""
     ship(spark)
-    return near_dedup.deduplicated(docs)
+    return near_dedup.deduplicated(docs, per_cent=NEAR)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,21 @@ def test_near_duplicates(docs, corpus, limits):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("limits", [{}, {"limit": 150, "bucket": 2}])
+def test_near_duplicates_at_80_per_cent(spark, limits):
+    """One word changed amid 50 shingles leaves 45 of 55: over 0.8, under 0.85; amid 40 it leaves 35 of 45."""
+
+    def changed(name, n):
+        w = [f"{name}{i}" for i in range(n + 4)]
+        return " ".join(w), " ".join([*w[:20], "changed", *w[21:]])
+
+    rows = [(10 * k + j, t) for k in range(20) for j, t in enumerate(changed(f"d{k}x", 50 if k % 2 else 40))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in near_dedup.deduplicated(table, **limits).collect()} == {d for d, _ in rows}
+    want = {10 * k + j for k in range(20) for j in range(1 if k % 2 else 2)}
+    assert {r["doc_id"] for r in near_dedup.deduplicated(table, **limits, per_cent=80).collect()} == want
+
+
 def test_near_duplicates_odd_rows(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, None), (7, None)]
