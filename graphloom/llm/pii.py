@@ -2,14 +2,15 @@
 
 After Sanchez and Batet, "C-sanitized: a privacy model for document redaction and sanitization" (2016).
 Patterns find the protected entities: e-mail addresses, IP addresses, payment cards, phone numbers.
-A term in an entity's context (the ``CONTEXT`` words on each side, in its line) discloses the entity
+A term of a document, anywhere outside its entities, discloses an entity of the document
 if its pointwise mutual information with it, estimated over the documents of the corpus, is at least
 ``DISCLOSURE`` of the entity's own information: ``log2(N n(t,e) / (n(t) n(e))) >= DISCLOSURE * log2(N / n(e))``.
 The estimate is trusted from ``SUPPORT`` documents on in which both occur.  Disclosing terms become
-spans of kind ``term``; ``sanitised`` removes entities and generalises terms.
+spans of kind ``term`` wherever they stand in a document with the entity; ``sanitised`` removes entities and generalises terms.
 
-One pass finds entities and contexts, a second counts the documents of the terms that have a partner
-with enough support; all statistics cover all documents, and shuffles hold contexts and counts only.
+One pass finds entities and keeps the texts that hold any; entities of too few documents for support end there.
+A second counts the documents of the terms beside the others.  A term of more documents than allows it to
+disclose an entity is not paired with it; all statistics cover all documents.
 
 Defined cases: a null text is empty; rows that repeat count as documents of their own; null ids are kept;
 an empty table gives no rows; other columns are ignored.
@@ -30,7 +31,6 @@ from . import shared
 from .tokens import ALNUM, U64, pieces
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 8
 SUPPORT = 2
 DISCLOSURE = 0.7
 SHARDS_ROWS = 4_000_000  # candidate terms a file
@@ -113,36 +113,27 @@ def _value(text: str, kind: int) -> str:
     return text.lower() if kind == 0 else text if kind == 1 else _NOT_DIGIT.sub("", text)
 
 
-def contexts(text: str, found: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms around each entity, outside all entities."""
-    out, taken = [], [(a, b) for a, _, b in found]
-
-    def free(a: int, b: int) -> bool:
-        return not any(a < y and x < b for x, y in taken)
-
-    for start, kind, end in found:
-        name = f"{KINDS[kind]}:{_value(text[start:end], kind)}"
-        line_end = text.find("\n", end)
-        line_end = len(text) if line_end < 0 else line_end
-        n = 0
-        for m in _TERM.finditer(text, end, line_end):
-            n += 1
-            if n > CONTEXT:
-                break
-            if m.end() - m.start() >= 3 and free(*m.span()):
-                out.append((name, m.group(), *m.span()))
-        low = max(text.rfind("\n", 0, start) + 1, 0)
-        width = 128
-        while True:  # enough of the line before the entity to hold its words whole
-            at = max(low, start - width)
-            words = [m.span() for m in _TERM.finditer(text, at, start)]
-            if at == low or len(words) > CONTEXT:
-                break
-            width *= 4
-        for a, b in words[-CONTEXT:]:
-            if b - a >= 3 and free(a, b):
-                out.append((name, text[a:b], a, b))
-    return out
+def blanked(text: str, found: list[tuple[int, int, int]]) -> str:
+    """text with its entities and the words that they touch as blanks; what is left keeps its place."""
+    out, at = [], 0
+    for a, _, b in found:
+        if b <= at:
+            continue
+        a = max(a, at)
+        while a > at and _TERM.match(text, a - 1, a):
+            a -= 1
+        if m := _TERM.match(text, b):
+            b = m.end()
+        out += [text[at:a], " " * (b - a)]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def _blank(column: pa.Array) -> tuple[pa.Array, list[list[tuple[int, int, int]]]]:
+    """The blanked texts, as bytes, and the entities of each."""
+    texts = [t or "" for t in column.to_pylist()]
+    found = [entities(t) for t in texts]
+    return pa.array([(blanked(t, f) if f else t).encode() for t, f in zip(texts, found, strict=True)], pa.large_binary()), found
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -152,33 +143,59 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.concatenate([p.hashes() for p in pieces(pa.array([w.encode() for w in words], pa.binary()), np.ones(256, bool))])
 
 
-_SCANNED = "id long, base array<struct<start: long, kind: int, end: long>>, around array<struct<entity: long, term: long, start: long, end: long>>"
+_SCANNED = "id long, base array<struct<start: long, kind: int, end: long>>, names array<long>, held string"
 
 
 def _scanner(keep: list[str]):
+    """The entities of each row, the hashes of their names, and the text of rows that hold any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         base_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-        around_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            base, around = [], []
+            base, names, held = [], [], []
             for text in batch.column("__text"):
                 text = text.as_py() or ""
                 found = entities(text)
-                near = contexts(text, found) if found else []
-                # names hold "@", "." or ":", so they cannot meet a term's hash by being the same word
-                e, t = _hashes([x[0] for x in near]).view(np.int64).tolist(), _hashes([x[1] for x in near]).view(np.int64).tolist()
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
-                around.append([{"entity": i, "term": j, "start": x[2], "end": x[3]} for i, j, x in zip(e, t, near, strict=True)])
+                names.append(_hashes(sorted({f"{KINDS[k]}:{_value(text[a:b], k)}" for a, k, b in found})).view(np.int64).tolist())
+                held.append(text if found else None)
             ids = pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64))
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids, pa.array(base, base_type), pa.array(around, around_type)], [*keep, "id", "base", "around"])
+            columns = [ids, pa.array(base, base_type), pa.array(names, pa.list_(pa.int64())), pa.array(held, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *columns], [*keep, "id", "base", "names", "held"])
 
     return run
 
 
+def _termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms, of three signs or more, of each row outside its entities."""
+    for batch in batches:
+        blank, _ = _blank(batch.column("held"))
+        for piece in pieces(blank, ALNUM):
+            h, at = piece.hashes(), piece.word_bounds
+            signs = np.concatenate([[0], np.cumsum((piece.data & 0xC0) != 0x80)])
+            long = signs[piece.ends] - signs[piece.starts] >= 3
+            sets = [np.unique(h[a:b][long[a:b]]).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+            terms = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(piece.first, piece.docs), terms], ["id", "terms"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the terms of each row stand, everywhere outside its entities."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+    for batch in batches:
+        out = []
+        for text, telling in zip(batch.column("held").to_pylist(), batch.column("telling").to_pylist(), strict=True):
+            places = [m.span() for m in _TERM.finditer(blanked(text, entities(text)))]
+            hit = np.isin(_hashes([text[a:b] for a, b in places]).view(np.int64), np.array(telling, np.int64))
+            out.append([{"start": a, "kind": 4, "end": b} for (a, b), x in zip(places, hit.tolist(), strict=True) if x])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, kind)], ["id", "terms"])
+
+
 def _counter(uri: str, files: int):
-    """Counts, for each candidate term, the documents of the partition that have it."""
+    """Counts, for each candidate term, the documents of the partition that have it outside entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = []
@@ -189,7 +206,7 @@ def _counter(uri: str, files: int):
                 continue
         sums = [np.zeros(len(k), np.int64) for k in known]
         for batch in batches:
-            for piece in pieces(batch.column("text"), ALNUM):
+            for piece in pieces(_blank(batch.column("text"))[0], ALNUM):
                 h = piece.hashes()
                 doc = np.repeat(np.arange(piece.docs), piece.sizes)
                 for terms, n in zip(known, sums, strict=True):
@@ -207,7 +224,7 @@ def _counter(uri: str, files: int):
 
 
 def _frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_term): in how many rows of texts each of the terms is."""
+    """(term, n_term): in how many rows of texts each of the terms is, outside entities."""
     spark = texts.sparkSession
     uri = shared.place(spark, "terms")
     files = terms.count() // SHARDS_ROWS + 1
@@ -231,17 +248,28 @@ def find(docs: DataFrame, keep: list[str], text: str = "text", support: int = SU
     plain = docs.select(*keep, F.col(text).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name in keep)
     scanned = shared.materialise(plain.mapInArrow(_scanner(keep), f"{fields}, {_SCANNED}"), "entities")
-    around = scanned.where(F.size("around") > 0).select("id", F.explode("around").alias("x")).select("id", "x.*")
-    together = shared.materialise(around.select("id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support), "together")
     total = scanned.count()
-    of_term = _frequencies(docs.select(F.col(text).cast("binary").alias("text")), together.select("term").distinct())
-    of_entity = around.select("id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    named = scanned.select("id", F.explode("names").alias("entity"))
+    of_entity = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # what cannot reach the support or any information takes no further part
+    of_entity = shared.materialise(of_entity.where((F.col("n_entity") >= support) & (F.col("n_entity") < total)), "shared_entities")
+    named = shared.materialise(named.join(of_entity, "entity"), "named")
+    holders = scanned.select("id", "held").join(named.select("id").distinct(), "id", "left_semi")
+    termed = shared.materialise(holders.mapInArrow(_termed, "id long, terms array<long>"), "terms").select("id", F.explode("terms").alias("term"))
+    common = shared.materialise(termed.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("term"), "candidates")
+    # n_both is at most n_entity, so a term of more documents than this cannot disclose the entity (0.1 % for rounding)
+    most = 1.001 * F.pow(F.lit(float(max(total, 1))), F.lit(1.0 - disclosure)) * F.pow(F.col("n_entity").cast("double"), F.lit(float(disclosure)))
+    named = named.withColumn("most", most)
+    bound = named.agg(F.max("most")).first()[0] or 0.0
+    of_term = shared.materialise(_frequencies(docs.select(F.col(text).alias("text")), common).where(F.col("n_term") <= bound), "frequencies")
+    pairs = termed.join(of_term, "term").join(named, "id").where(F.col("n_term") <= F.col("most"))
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= support)
     information = F.log2(F.lit(total) / F.col("n_entity"))
     mutual = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    telling = together.join(of_term, "term").join(of_entity, "entity").where((information > 0) & (mutual >= disclosure * information)).select("entity", "term")
-    span = F.struct("start", F.lit(4).alias("kind"), "end")
-    terms = around.join(telling, ["entity", "term"]).groupBy("id").agg(F.array_sort(F.collect_set(span)).alias("terms"))
-    out = scanned.drop("around").join(terms, "id", "left").drop("id")
+    telling = shared.materialise(together.where(mutual >= disclosure * information).select("entity", "term"), "telling")
+    of_row = termed.join(named.select("id", "entity").join(telling, "entity"), ["id", "term"]).groupBy("id").agg(F.collect_set("term").alias("telling"))
+    terms = holders.join(of_row, "id").mapInArrow(_marked, "id long, terms array<struct<start: long, kind: int, end: long>>")
+    out = scanned.drop("names", "held").join(terms, "id", "left").drop("id")
     return out.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)")))
 
 

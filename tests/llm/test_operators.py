@@ -306,6 +306,30 @@ def test_disclosing_terms(spark):
     assert clean[5] == text[5] and clean[200] is None
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    """A term on another line, far from the entity, and each place where it repeats; against brute force over documents."""
+    r = random.Random(11)
+    rows = []
+    for i in range(120):
+        people = r.sample(range(6), r.choice([0, 0, 0, 1, 2]))
+        body = [r.choice(WORDS[:20]) + r.choice("abc") for _ in range(30)]
+        lines = [" ".join(body)] + [f"mail p{p}@x.org or" for p in people] + ["", " ".join(f"Alias{p} of zür{p % 2} p{p}" for p in people), " ".join(body[:12]) + " " + " ".join(f"alias{p}" for p in people)]
+        rows.append((i, "\n".join(lines)))
+    found = {x["doc_id"]: [(s["start"], s["end"]) for s in x["terms"]] for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    owns, has, places = {}, {}, {}
+    for d, t in rows:
+        owns[d] = set(re.findall(r"p\d@x\.org", t))
+        hidden = [m.span() for m in re.finditer(r"p\d@x\.org", t)]
+        places[d] = [(m[0].lower(), m.span()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]{3,}", t) if not any(a < m.end() and m.start() < b for a, b in hidden)]
+        has[d] = {w for w, _ in places[d]}
+    n_e, n_t = Counter(e for x in owns.values() for e in x), Counter(w for x in has.values() for w in x)
+    both = Counter((e, w) for d in owns for e in owns[d] for w in has[d])
+    tells = {k for k, n in both.items() if n >= 2 and math.log2(len(rows) * n / (n_t[k[1]] * n_e[k[0]])) >= 0.7 * math.log2(len(rows) / n_e[k[0]])}
+    want = {d: [s for w, s in places[d] if any((e, w) in tells for e in owns[d])] for d in owns}
+    assert found == want
+    assert any(rows[d][1][a:b] == "alias0" for d, x in want.items() for a, b in x)
+
+
 def test_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "a b c", "en", "s", 5, "own", 2.0)], "doc_id long, text string, lang string, source string, n_chars long, key string, score double")
     assert lm_scoring.score(rows, lm_scoring.train(rows), ["doc_id", "key"]).first()["key"] == "own"
