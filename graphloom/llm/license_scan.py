@@ -7,6 +7,12 @@ letters and digits to single blanks) and looked up among the known licence sente
 neighbouring sentences form sequences; the licence rules, in order, each consume their sequence.
 Identifiers that no rule consumes make the licence ``UNKNOWN``.
 
+Before that, each known sentence that is wrapped, whatever its lines begin with (blanks, ``#``, ``*``, ``//``, a blank
+line before an address), is put on one line of its own, if it begins and ends where a sentence may: at a full
+stop, or at a line's end that the next line does not go on from in lower case.  A list number before it goes, and the
+disclaimer between the two known sentences of the GPL header is read with the second.  ``ORACLE_SQL`` does not
+do this step; the two agree on texts without such notices.
+
 Every known sentence contains one of ``ANCHORS``, which is checked when this module loads; a text without any
 is not cut at all.  Nothing shuffles: one pass, one row in and out.
 
@@ -82,6 +88,37 @@ _JOIN = r"[ \t]*\r?\n[ \t]*([a-z])"
 _CUT = r"[.!?]+[ \t]+|[\r\n]+"
 
 
+_NO_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
+_LINE = r"(?:\r?\n(?![ \t]*[a-z])|\r(?!\n))"
+# classes of signs only, each run possessive or ended by a look-ahead: no recursion and no backtracking over long runs
+_BEGIN = rf"(\A|[.!?][ \t\r\n]|{_LINE})[^A-Za-z0-9\r\n.!?]*+(?:(?:[0-9]{{1,2}}|[A-Za-z])[.)][^A-Za-z0-9\r\n]*+)?"
+_END = rf"(?=[^A-Za-z0-9]*?(?:\z|[.!?][ \t\r\n]|{_LINE}))"
+
+
+def _spread(sentence: str) -> str:
+    """A pattern for the sentence's words, whatever stands between them but the end of a sentence."""
+    out = ""
+    for m in re.finditer(r"([A-Za-z0-9]+)([^A-Za-z0-9]*)", sentence.rstrip(".:")):
+        out += m[1] + ("" if not m[2] else "[^A-Za-z0-9]{1,3}" if "." in m[2] else "[^A-Za-z0-9.!?]++")
+    return out.removesuffix("[^A-Za-z0-9.!?]++")
+
+
+def _wrapped() -> list[tuple[str, str]]:
+    """For each identifier, the pattern of its sentences and the line that takes their place."""
+    out = []
+    for k, v in _KNOWN.items():
+        ways = "|".join(_spread(x) for x in sorted(v.split("|"), key=len, reverse=True))
+        before = rf"(?:{_spread(_NO_WARRANTY)}[.][^A-Za-z0-9]++)?" if k == "GplNoWarranty" else ""
+        out.append((rf"{_BEGIN}(?i:{before}(?:{ways})){_END}", f"$1. {v.split('|')[0].rstrip('.:')}. "))
+    return out
+
+
+def _unwrapped(text: Column) -> Column:
+    for pattern, line in _wrapped():
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(line))
+    return text
+
+
 def _ids(text: Column) -> Column:
     """The identifier of each sentence that is not blank, '' for unknown ones."""
     known = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
@@ -93,7 +130,7 @@ def _ids(text: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with sentence_ids and licences (sorted), both arrays."""
     none = F.array().cast("array<string>")
-    out = docs.withColumn("__ids", F.when(F.rlike(F.col(text), F.lit(_ANCHOR)), _ids(F.col(text))).otherwise(none))
+    out = docs.withColumn("__ids", F.when(F.rlike(F.col(text), F.lit(_ANCHOR)), _ids(_unwrapped(F.col(text)))).otherwise(none))
     # one word for each sentence, '-' for an unknown one
     out = out.withColumn("__left", F.concat(F.lit("<"), F.array_join(F.transform("__ids", lambda i: F.when(i == "", "-").otherwise(i)), "><"), F.lit(">")))
     found = []

@@ -272,6 +272,64 @@ def test_licences(spark):
     assert got == {1: (["Apache2Ref", "Apache2Copy"], ["Apache-2.0"]), 2: (["MitRef"], ["MIT"]), 3: ([], []), 4: ([], []), 5: (["GplNoWarranty"], ["UNKNOWN"]), 6: (["AllRights", "AllRights"], ["All-rights-reserved"]), 7: ([], [])}
 
 
+HEADERS = {
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+}
+SENTENCE_IDS = {"GPL-3.0-or-later": ["GplFree", "GplNoWarranty"], "MIT": ["MitGrant", "MitNotice"], "BSD": ["Bsd3Grant", "BsdSource", "BsdBinary"], "Apache-2.0": ["Apache2Ref", "Apache2Copy", "Apache2AsIs"]}
+
+
+def test_licence_headers(spark):
+    """The canonical headers, plain and as comments; long runs of blank lines and signs are harmless."""
+    rows, want = [], {}
+    for name, header in HEADERS.items():
+        for mark in ("", "    ", "# ", " * ", "// ", "-- "):
+            body = "\n".join((mark + x).rstrip() for x in header.split("\n"))
+            for text in (body, f"/*\n * Copyright 2020 Someone\n *\n{body}\n */\nint x;", body.replace("\n", "\r\n")):
+                want[len(rows)] = (SENTENCE_IDS[name], [name])
+                rows.append((len(rows), text))
+    want[len(rows)] = ([], [])
+    rows.append((len(rows), "licens" + "\n" * 100_000 + "* " * 100_000 + "! " * 100_000))
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def base_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
