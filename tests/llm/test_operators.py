@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import components, decontamination, license_scan, line_dedup, lm_scoring, media, mixing, near_dedup, pii, quality, url_filter
 from tests.llm import brute
@@ -186,6 +187,20 @@ def test_quality(spark):
     assert kept.count() == sum(out.values())
 
 
+def test_trusted_sample_passes_over_long_documents(spark, monkeypatch):
+    """One very long document among the first does not end the sample; labels of absent documents use nothing up."""
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 1000)
+    monkeypatch.setattr(quality, "TRAIN_DOCS", 40)
+    monkeypatch.setattr(quality, "HELD_DOCS", 10)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1000)], LABELS)
+    plain = spark.createDataFrame([(i, "ten signs.", "en", "s", 10) for i in range(30)], DOCS)
+    fit, held = quality.trusted_sample(plain, labels)
+    ids = [r["doc_id"] for r in fit.collect()]  # in the order of the hash
+    assert len(ids) + held.count() == 30
+    long = plain.withColumn("text", F.when(F.col("doc_id") == ids[1], F.lit("x" * 2000)).otherwise(F.col("text")))
+    assert {r["doc_id"] for r in quality.trusted_sample(long, labels)[0].collect()} == set(ids) - {ids[1]}
+
+
 def test_without_trusted_text(docs, spark):
     out = quality.classify(docs, spark.createDataFrame([], LABELS), ["doc_id"])
     assert out.where("kept").count() == docs.count()
