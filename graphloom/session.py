@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -66,6 +66,24 @@ def scope(spark: SparkSession) -> Iterator[None]:
         discard(spark, *_scopes.pop())
 
 
+@contextmanager
+def kept(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A scope() whose function writes a table that outlives it."""
+    _scopes.append([])
+    try:
+
+        def keep(df: DataFrame, tag: str) -> DataFrame:
+            inner = _scopes.pop()
+            try:
+                return materialise(df, tag)  # belongs to the scope around, if there is one
+            finally:
+                _scopes.append(inner)
+
+        yield keep
+    finally:
+        discard(spark, *_scopes.pop())
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Python workers can import it."""
     sc = spark.sparkContext
