@@ -14,8 +14,10 @@ shared folder; a task searches block after block, so neither side is ever held w
 A window is 13 consecutive words of an item; an item of fewer, but not none, is one window.
 
 Defined cases: null or empty texts have no words and are clean; null or empty items have no windows; a null
-item_id counts as an empty name; items that repeat an id count once; an empty benchmark leaves all clean;
-rows that repeat are judged each; other columns pass through ``keep``.
+item_id counts as an empty name; items that repeat an id count once; an empty benchmark, or an empty block of it,
+leaves all clean; rows that repeat are judged each; a text of any length is one shard at most longer than ``SHARD``;
+there are no ties (a word is hit or not); other columns pass through ``keep`` unchanged whatever their names, and an
+output whose name is taken has an underscore behind it.  A block whose file is lost is an error, never read as empty.
 """
 
 from __future__ import annotations
@@ -176,14 +178,12 @@ class Benchmark:
             yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32())], ["block"])
 
         n = self.blocks
-        items.withColumn("block", (F.pmod(F.xxhash64("item", "text"), F.lit(n))).cast("int")).repartitionById(n, F.col("block")).mapInArrow(write, "block int").count()
+        done = items.withColumn("block", (F.pmod(F.xxhash64("item", "text"), F.lit(n))).cast("int")).repartitionById(n, F.col("block")).mapInArrow(write, "block int")
+        self.written = sorted(r["block"] for r in done.collect())  # a number for each block of items
 
     def load(self, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """The block's words, its windows (rows of words, padded on the left), their sizes and items, and the items' names."""
-        try:
-            hashes, sizes, ends, names = shared.unpack(shared.get(f"{self.uri}/{block}"), [U64, np.int64, np.int64, np.uint8])
-        except FileNotFoundError:
-            hashes, sizes, ends, names = np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
+        hashes, sizes, ends, names = shared.unpack(shared.get(f"{self.uri}/{block}"), [U64, np.int64, np.int64, np.uint8])
         words, symbol = np.unique(hashes, return_inverse=True)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         windows = np.where(sizes > 0, np.maximum(sizes - WINDOW + 1, 1), 0)
@@ -199,7 +199,7 @@ class Benchmark:
 def occurrences(hashes: np.ndarray, bounds: np.ndarray, words: np.ndarray, phrases: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where (word of the shard) and which windows occur in the documents that bounds cuts out of hashes."""
     none = np.empty(0, np.int64), np.empty(0, np.int64)
-    if not len(words) or not len(hashes):
+    if not len(sizes) or not len(hashes):
         return none
     at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
     known = words[at] == hashes
@@ -234,7 +234,7 @@ def _judge(parts: list, benchmark: Benchmark) -> tuple[np.ndarray, np.ndarray, l
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     edge = np.zeros(len(hashes) + 1, np.int64)
     names: list[set[str]] = [set() for _ in sizes]
-    for block in range(benchmark.blocks):
+    for block in benchmark.written:
         words, phrases, size, item, ids = benchmark.load(block)
         where, which = occurrences(hashes, bounds, words, phrases, size)
         edge += np.bincount(where, minlength=len(edge)) - np.bincount(where + size[which], minlength=len(edge))
@@ -248,11 +248,14 @@ def _judge(parts: list, benchmark: Benchmark) -> tuple[np.ndarray, np.ndarray, l
 
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep, n_words, n_hit, items (their ids, sorted) and spans (merged UTF-8 byte ranges of hit words) of each row of docs."""
+    return shared.beside(_contamination(docs, items, keep, text), keep, ["n_words", "n_hit", "items", "spans"])
+
+
+def _contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str) -> DataFrame:
     benchmark = Benchmark(items)
-    column = text if text in keep else "__text"  # a text that is kept travels once
-    plain = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).cast("binary").alias("__text"))
+    plain, inside = shared.text_of(docs, keep, text)
 
-    def judged(lines: list[pa.RecordBatch], parts: list, places: list) -> pa.RecordBatch:
+    def judged(lines: list[pa.Array], parts: list, places: list) -> pa.RecordBatch:
         sizes, n_hit, names, hit = _judge(parts, benchmark)
         starts, ends = np.concatenate([a for a, _ in places]), np.concatenate([b for _, b in places])
         spans: list[list] = []
@@ -266,19 +269,19 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str
             else:
                 spans.append([])
             at += n
-        rows = pa.Table.from_batches(lines).combine_chunks().to_batches()[0]
+        rows = pa.concat_arrays(lines)
         lines.clear()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, kind)], [*keep, "n_words", "n_hit", "items", "spans"])
+        return pa.RecordBatch.from_arrays([rows, pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, kind)], ["row", "n_words", "n_hit", "items", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, parts, places, n = [], [], [], 0
         for batch in batches:
-            for piece in pieces(batch.column(column), ALNUM):
+            for piece in pieces(shared.texts(batch, inside), ALNUM):
                 parts.append((piece.hashes(), piece.sizes))
                 shift = np.repeat(piece.bounds[:-1], piece.sizes)
                 places.append(((piece.starts - shift).astype(np.int32), (piece.ends - shift).astype(np.int32)))
-                lines.append(batch.slice(piece.first, piece.docs).select(keep))
+                lines.append(batch.column("row").slice(piece.first, piece.docs))
                 n += len(piece.starts)
                 if n >= SHARD:
                     yield judged(lines, parts, places)
@@ -286,26 +289,26 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str
         if lines:
             yield judged(lines, parts, places)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name in keep)
-    return plain.mapInArrow(run, f"{fields}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    return plain.mapInArrow(run, shared.widened(plain, "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"))
 
 
 CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 
 
-def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """docs without the contaminated ones, and without the merged spans in the others; n_chars follows the text."""
     columns = docs.columns
-    found = contamination(docs, items, columns).where(f"not ({CONTAMINATED})")
+    found = _contamination(docs, items, columns, text).where(f"not ({CONTAMINATED})").withColumn("t", F.col("row")[text])
     # the bytes between the spans
-    pieces_ = """concat_ws('', transform(sequence(0, size(spans)), i -> decode(substring(cast(text as binary),
+    pieces_ = """concat_ws('', transform(sequence(0, size(spans)), i -> decode(substring(cast(t as binary),
         cast(if(i = 0, 0, spans[i - 1].end) as int) + 1,
-        cast(if(i = size(spans), octet_length(text), spans[i].start) - if(i = 0, 0, spans[i - 1].end) as int)), 'UTF-8')))"""
-    cut = F.when(F.size("spans") > 0, F.expr(pieces_)).otherwise(F.col("text"))
-    out = found.withColumn("text", cut)
+        cast(if(i = size(spans), octet_length(t), spans[i].start) - if(i = 0, 0, spans[i - 1].end) as int)), 'UTF-8')))"""
+    cut = F.when(F.size("spans") > 0, F.expr(pieces_)).otherwise(F.col("t"))
+    found = found.select("row", "spans", cut.alias("cut"))
+    out = {k: F.col("row")[k] for k in columns} | {text: F.col("cut")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(columns)
+        out["n_chars"] = F.when(F.size("spans") > 0, F.char_length("cut").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row")["n_chars"])
+    return found.select(*(c.alias(k) for k, c in out.items()))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,47 +3,51 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-_own: dict[str, str] = {}
+from ..session import discard, kept, materialise, place, scope, shared_folder  # noqa: F401
 
 
-def folder(spark: SparkSession) -> str:
-    """The qualified URI of spark.checkpoint.dir; where none is set, of a temporary folder (tests, one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or _own.setdefault("dir", "")
-    if not base:
-        base = _own["dir"] = tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return str(fs.makeQualified(path).toString())
+def free(name: str, taken: list[str]) -> str:
+    """The name of an output beside the columns that the caller keeps: with underscores behind it if it is taken."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
-def place(spark: SparkSession, tag: str) -> str:
-    """The URI of a new, unused subfolder."""
-    return f"{folder(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
+def packed(df: DataFrame, keep: list[str], **more: object) -> DataFrame:
+    """The columns to keep as one struct ``row`` and the named ones beside it, so that no name of theirs can clash."""
+    return df.select(F.struct(*(F.col(f"`{k}`") for k in keep)).alias("row"), *(c.alias(k) for k, c in more.items()))
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    at = place(spark, tag)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+def beside(df: DataFrame, keep: list[str], outputs: list[str]) -> DataFrame:
+    """packed() undone: the kept columns as they were, and the outputs under free names."""
+    return df.select(*(F.col("row")[k].alias(k) for k in keep), *(F.col(o).alias(free(o, keep)) for o in outputs))
 
 
-def discard(spark: SparkSession, *uris: str) -> None:
-    """Remove folders that place() named; for tables that nothing reads any more."""
-    for uri in uris:
-        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def text_of(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str | None]:
+    """packed() for operators that read a text: as ``text`` beside the row, or, where it is kept, only within (a text travels once)."""
+    if text in keep:
+        return packed(df, keep), text
+    return packed(df, keep, text=F.col(f"`{text}`").cast("binary")), None
+
+
+def texts(batch: pa.RecordBatch, inside: str | None) -> pa.Array:
+    """The texts of a batch of text_of()."""
+    return batch.column("text") if inside is None else batch.column("row").field(inside)
+
+
+def widened(df: DataFrame, fields: str) -> StructType:
+    """The schema of df's ``row`` and more fields, in DDL."""
+    return StructType([StructField("row", df.schema["row"].dataType), *StructType.fromDDL(fields).fields])
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
