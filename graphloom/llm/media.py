@@ -11,7 +11,9 @@ Nothing shuffles, and memory is bounded by the archive and batch sizes and the l
 are named by the partition that writes them and put in place whole, so a repeated task replaces its own.
 
 Defined cases: a null text is empty, and an empty text is one row of blanks; rows that repeat are members
-of their own; a null key is carried as such; an empty table or folder gives no rows.
+of their own; a null key is carried as such, whatever its type; a very long text is one member, read whole; an empty
+table or folder gives no rows; there are no ties; other columns are ignored, so no name can clash.  An archive whose
+directory cannot be read is tried again like a member, and then is one row with ``error`` and the archive's name.
 """
 
 from __future__ import annotations
@@ -80,12 +82,16 @@ def decode(media: bytes) -> np.ndarray:
     return raw[:, 1:]
 
 
+_CELLS = np.arange(10) * WIDTH // 9
+
+
 def feature(samples: np.ndarray) -> str:
     """Size, mean and deviation of the samples, and a difference hash over a grid of 8 rows and 9 columns of luma."""
     luma = samples.reshape(len(samples), WIDTH, 3).sum(axis=2, dtype=np.int64)
     rows = np.add.reduceat(luma, np.minimum(np.arange(8) * len(luma) // 8, len(luma) - 1), axis=0)
-    cells = np.add.reduceat(rows, np.arange(9) * WIDTH // 9, axis=1)
-    bits = np.packbits((cells[:, 1:] * 7 > cells[:, :-1] * 7).ravel())
+    cells = np.add.reduceat(rows, _CELLS[:-1], axis=1)
+    width = np.diff(_CELLS)  # 7 or 8 pixels: means are compared, without dividing
+    bits = np.packbits((cells[:, 1:] * width[:-1] > cells[:, :-1] * width[1:]).ravel())
     total, n = int(samples.sum(dtype=np.int64)), samples.size
     square = int((samples.astype(np.int64) ** 2).sum())
     return f"rgb {WIDTH}x{len(samples)} mean {total / n:.4f} var {square / n - (total / n) ** 2:.4f} dhash {bits.tobytes().hex()}"
@@ -178,14 +184,26 @@ class ArchiveReader(DataSourceReader):
                 problem = f"{type(e).__name__}: {e}"
         return None, problem
 
+    def _directory(self, fs: pafs.FileSystem, partition: Range) -> tuple[list[zipfile.ZipInfo], str | None]:
+        """The members whose offset lies in the range, and what was wrong with the archive if it cannot be read."""
+        problem = None
+        for _ in range(self.retries):
+            try:
+                with fs.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
+                    return [m for m in z.infolist() if partition.start <= m.header_offset < partition.stop], None
+            except (OSError, ValueError, struct.error, zipfile.BadZipFile, NotImplementedError) as e:
+                problem = f"{type(e).__name__}: {e}"
+        return [], problem
+
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         names = ["key", "archive", "offset", "n_bytes", "media", "error"]
         types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         if not partition.path:
             return
         fs, _ = pafs.FileSystem.from_uri(self.uri)
-        with fs.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
-            members = [m for m in z.infolist() if partition.start <= m.header_offset < partition.stop]
+        members, problem = self._directory(fs, partition)
+        if problem and partition.start == 0:  # one row for the archive, from its first range
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, partition.path, None, None, None, problem), types, strict=True)], names)
         rows, held = [], 0
         for m in members:
             data, error = self._member(fs, partition.path, m)
@@ -248,4 +266,4 @@ def features(media: DataFrame) -> DataFrame:
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = features(read_media(spark, write_media(docs)))
-    return found.select(F.col("key").cast("long").alias("doc_id"), *found.columns[1:])
+    return found.select(F.col("key").cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), *found.columns[1:])
