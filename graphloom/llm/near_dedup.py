@@ -25,7 +25,8 @@ deviations of the sketch's bits below it.
 Defined cases: a document without words (or a null text) is linked with nothing; one of fewer than five
 words has its whole sequence as its set; a null doc_id never names a component of which another
 document is part, and a group of null ids alone has a null component and is kept; rows that repeat a doc_id
-are separate documents under one id; other columns are ignored.
+are separate documents under one id; a very long text is one set, whole; ties of doc_id take either row;
+other columns are ignored, or passed unchanged by ``deduplicated``, so no name can clash.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,6 +129,9 @@ def linked(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
     return 100 * common >= per_cent * (len(both) - common)
 
 
+_SIGNED = "n_shingles long, class binary, id long, bands array<long>, sketch binary, h long"
+
+
 def _signed(batches: Iterator[pa.RecordBatch], level: Level) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch.column("text")):
@@ -143,8 +148,9 @@ def _signed(batches: Iterator[pa.RecordBatch], level: Level) -> Iterator[pa.Reco
                     pa.array([int.from_bytes(fingerprint(s)[:8], "little", signed=True) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * level.bands), pa.array(keys.view(np.int64).ravel())),
                     pa.array([None if e else x.tobytes() for e, x in zip(empty, bits, strict=True)], pa.binary()),
+                    batch.column("h").slice(piece.first, piece.docs),
                 ],
-                ["doc_id", "n_shingles", "class", "id", "bands", "sketch"],
+                ["doc_id", "n_shingles", "class", "id", "bands", "sketch", "h"],
             )
 
 
@@ -244,13 +250,21 @@ def candidate_groups(classes: DataFrame, level: Level, bucket: int = BUCKET) ->
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The full set of each row's text, where it is the set of the row's class."""
+    """The full set of each row's text, where it is the set of the row's class; each class once a task."""
+    done: set[bytes] = set()
     for batch in batches:
         for piece in pieces(batch.column("text")):
             h, at = piece.hashes(), piece.word_bounds
             sets = [shingles(h[a:b], WORDS) for a, b in zip(at[:-1], at[1:], strict=True)]
             rows = batch.slice(piece.first, piece.docs)
-            own = pa.array([len(s) > 0 and fingerprint(s) == c for s, c in zip(sets, rows.column("class").to_pylist(), strict=True)])
+            names = rows.column("class").to_pylist()
+            fits = [len(s) > 0 and fingerprint(s) == c for s, c in zip(sets, names, strict=True)]
+            own = []
+            for ok, c in zip(fits, names, strict=True):
+                own.append(ok and c not in done)
+                if ok:
+                    done.add(c)
+            own = pa.array(own, pa.bool_())
             rows = rows.select(["group", "class", "sketch", "total"]).append_column("keys", pa.array([s.tobytes() for s in sets], pa.binary()))
             yield rows.filter(own)
 
@@ -265,7 +279,22 @@ def _near(sets: list[np.ndarray], sketch: np.ndarray, size: np.ndarray, level: L
     return near
 
 
+def _once(table: pa.Table, *more: str) -> pa.Table:
+    """Rows sorted by (part, class, *more) without those that repeat their neighbour: several tasks may have sent a class."""
+    if table.num_rows < 2:
+        return table
+    same = None
+    for name in ("part", "class", *more):
+        c = table.column(name).combine_chunks()
+        equal = pa.compute.equal(c.slice(1), c.slice(0, len(c) - 1))
+        same = equal if same is None else pa.compute.and_(same, equal)
+    if not pa.compute.any(same).as_py():
+        return table
+    return table.filter(pa.concat_arrays([pa.array([True]), pa.compute.invert(same)]))
+
+
 def _members(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[bytes]]:
+    """The sets, sketches, sizes and classes of rows sorted by class within their part."""
     raw, at = bytes_of(table.column("keys").combine_chunks())
     sets = [raw[a:b].view(U64) if a % 8 == 0 and raw.ctypes.data % 8 == 0 else np.frombuffer(raw[a:b].tobytes(), U64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return sets, _fixed(table.column("sketch"), SKETCH // 8), np.diff(at) // 8, table.column("class").to_pylist()
@@ -274,6 +303,7 @@ def _members(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
 def _confirmed(batches: Iterator[pa.RecordBatch], level: Level) -> Iterator[pa.RecordBatch]:
     """The confirmed spanning forest of each part; rows come sorted by part."""
     for table in runs(batches, "part"):
+        table = _once(table)
         parts = table.column("part").to_numpy()
         sets, sketch, size, ids = _members(table)
         pairs = []
@@ -286,6 +316,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], level: Level) -> Iterator[pa.R
 def _crossed(batches: Iterator[pa.RecordBatch], level: Level) -> Iterator[pa.RecordBatch]:
     """Links between the rows with ``ask`` and the rows of another block and label, within each part."""
     for table in runs(batches, "part"):
+        table = _once(table, "ask")
         parts = table.column("part").to_numpy()
         sets, sketch, size, ids = _members(table)
         ask, block = table.column("ask").to_numpy(zero_copy_only=False), table.column("block").to_numpy()
@@ -307,7 +338,7 @@ def _by_part(df: DataFrame, f: Callable, *more: str) -> DataFrame:
     """f over df's rows by (group, *more), in one sorted stream a partition."""
     spark = df.sparkSession
     part = F.xxhash64("group", *more)  # equal keys of different groups only put more classes side by side
-    return df.withColumn("part", part).repartition(shared.partitions(spark), "part").sortWithinPartitions("part", "class").mapInArrow(f, _EDGES)
+    return df.withColumn("part", part).repartition(shared.partitions(spark), "part").sortWithinPartitions("part", "class", *(["ask"] if "ask" in df.columns else [])).mapInArrow(f, _EDGES)
 
 
 def _numbers(blocks: str) -> Column:
@@ -350,41 +381,47 @@ def confirm(sets: DataFrame, level: Level, limit: int = GROUP) -> DataFrame:
     return small.union(inside).union(hubbed).union(crossed)
 
 
-def near_duplicates(docs: DataFrame, limit: int = GROUP, bucket: int = BUCKET, per_cent: int = PER_CENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit: int = GROUP, bucket: int = BUCKET, per_cent: int = PER_CENT, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text), at one of LEVELS."""
     level = LEVELS[per_cent]
-    plain = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    spark = docs.sparkSession
+    t = F.col(f"`{text}`")
+    # h tells rows of one doc_id, or of none, apart by their texts
+    plain = docs.select("doc_id", t.cast("binary").alias("text"), F.xxhash64(t).alias("h"))
     kind = dict(plain.dtypes)["doc_id"]
-    signed = shared.materialise(plain.mapInArrow(partial(_signed, level=level), f"doc_id {kind}, n_shingles long, class binary, id long, bands array<long>, sketch binary"), "signed")
-    classes = shared.materialise(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "id", "bands", "sketch"))), "classes")
-    groups = candidate_groups(classes, level, bucket).withColumnsRenamed({"node": "id", "label": "group"})
-    members = groups.join(classes.select("id", "class", "first", "n_shingles", "sketch"), "id")
-    totals = members.groupBy("group").agg(F.sum("n_shingles").alias("total"))
-    members = shared.materialise(members.join(totals, "group").select("first", "class", "group", "sketch", "total"), "members")
-    texts = plain.join(shared.bounded(members, BROADCAST), plain["doc_id"].eqNullSafe(members["first"])).select("text", "group", "class", "sketch", "total")
-    sets = texts.mapInArrow(_sets, "group long, class binary, sketch binary, total long, keys binary")
-    sets = shared.materialise(sets, "sets")
-    found = components(confirm(sets, level, limit)).withColumnRenamed("node", "class")
-    least = found.join(classes.select("class", "first"), "class").groupBy("label").agg(F.min("first").alias("least"))
-    of_class = classes.select("class", "first").join(found.join(least, "label").select("class", "least"), "class", "left").select("class", F.coalesce("least", "first").alias("least"))
+    signed = shared.materialise(plain.mapInArrow(partial(_signed, level=level), f"doc_id {kind}, {_SIGNED}"), "signed")
+    with shared.kept(spark) as keep:
+        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
+        classes = shared.materialise(signed.where("class is not null").groupBy("class").agg(least.alias("by"), *(F.first(c).alias(c) for c in ("n_shingles", "id", "bands", "sketch"))).select("class", F.col("by.doc_id").alias("first"), "by.h", "n_shingles", "id", "bands", "sketch"), "classes")
+        groups = candidate_groups(classes, level, bucket).withColumnsRenamed({"node": "id", "label": "group"})
+        members = groups.join(classes.select("id", "class", "first", "h", "n_shingles", "sketch"), "id")
+        totals = members.groupBy("group").agg(F.sum("n_shingles").alias("total"))
+        members = shared.materialise(members.join(totals, "group").select("first", F.col("h").alias("fh"), "class", "group", "sketch", "total"), "members")
+        texts = plain.join(shared.bounded(members, BROADCAST), (F.col("h") == F.col("fh")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "group", "class", "sketch", "total")
+        sets = texts.mapInArrow(_sets, "group long, class binary, sketch binary, total long, keys binary")
+        sets = shared.materialise(sets, "sets")
+        found = components(confirm(sets, level, limit)).withColumnRenamed("node", "class")
+        firsts = found.join(classes.select("class", "first"), "class").groupBy("label").agg(F.min("first").alias("least"))
+        of_class = classes.select("class", "first").join(found.join(firsts, "label").select("class", "least"), "class", "left").select("class", F.coalesce("least", "first").alias("least"))
+        of_class = keep(of_class, "of_class")
     out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
     lone = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", lone.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(docs: DataFrame, limit: int = GROUP, bucket: int = BUCKET, per_cent: int = PER_CENT) -> DataFrame:
+def deduplicated(docs: DataFrame, limit: int = GROUP, bucket: int = BUCKET, per_cent: int = PER_CENT, text: str = "text") -> DataFrame:
     """docs with one document of each group: the one of the smallest doc_id; of rows that repeat it with the same text, one.
 
     Rows of a null id cannot be told apart by it: they stay if one of them does.
     """
-    kept = shared.materialise(near_duplicates(docs, limit, bucket, per_cent).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    own = kept.select(F.col("doc_id").alias("__id")).hint("merge")  # one strategy at every size
-    out = docs.join(own, docs["doc_id"].eqNullSafe(own["__id"]), "left_semi")
-    repeated = kept.where("n > 1").select(F.col("doc_id").alias("__id"))
-    if not repeated.limit(1).count():
-        return out
-    same = out["doc_id"].eqNullSafe(repeated["__id"])
-    return out.join(repeated, same, "left_anti").union(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    kept = shared.materialise(near_duplicates(docs, limit, bucket, per_cent, text).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    row = shared.packed(docs, docs.columns, id=F.col("doc_id"), t=F.col(f"`{text}`"))
+    out = row.join(kept.select(F.col("doc_id").alias("own")).hint("merge"), F.col("id").eqNullSafe(F.col("own")), "left_semi")  # one strategy at every size
+    repeated = kept.where("n > 1").select(F.col("doc_id").alias("own"))
+    if repeated.limit(1).count():
+        same = F.col("id").eqNullSafe(F.col("own"))
+        out = out.join(repeated, same, "left_anti").union(out.join(repeated, same, "left_semi").dropDuplicates(["id", "t"]))
+    return out.select(*(F.col("row")[k].alias(k) for k in docs.columns))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
