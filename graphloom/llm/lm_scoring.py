@@ -4,11 +4,19 @@ After Talbot and Osborne, "Smoothed Bloom filter language models" (2007).  An n-
 the quantised level ``1 + floor(log_b c)`` and is entered once for each level up to its own; a reader
 probes level after level until one is missing.
 
-Training, one pass: each task turns its documents into sorted distinct n-gram keys with counts, cut
-by key range into shards; each shard is merged by one task, which writes the exact word counts and
-the filter of the longer n-grams into the shared folder and returns a few sums.  Scoring, one pass:
-each task maps the shards one after another and probes them with the n-grams of its own batch, so
-neither the driver nor a broadcast holds anything that grows with the corpus.
+The filter of a corpus grows with it, so it is not broadcast whole: it is cut by key range into shards of about
+``SHARD_BYTES`` of text each, and the n-grams come to their shard, once, for both purposes:
+
+1. A task cuts its documents into batches of ``BATCH`` tokens.  A batch's rows are written to the shared folder; its
+   distinct n-gram keys, sorted, with the number of times that learned documents have them, go to the shards.
+2. A shard's task sums the counts, enters them into the filter (words stay exact), probes it with every distinct
+   key that was sent, and answers each batch in the order of its keys.  Its sums go to the driver.
+3. The answers come back to the batches, which are read again and scored.
+
+Every n-gram moves once, as a difference of four bytes mostly, and every answer once, as a byte; no task reads the
+whole model, and what one holds does not grow with the corpus.  Word keys have 63 bits, those of longer n-grams 48,
+which two of them share with a probability far under that of a false positive of the filter.  A batch's name holds its
+content's fingerprint: a task that runs again writes the same, and answers to other content are an error, never used.
 
 Probability of a word after a history h, absolute discounting down to add-one unigrams:
 ``max(c(hw)-D, 0)/c(h) + D*N(h)/c(h) * p(w|h')``.  The number N(h) of distinct successors is taken
@@ -16,7 +24,9 @@ as ``c(h)^beta``, with beta solved per order so that the sum over all histories
 distinct n-grams of the whole corpus; D comes from the counts of counts.
 
 Defined cases: a null text is empty and has only its end token; an empty table gives no rows; a null
-doc_id is learned from (its checksum is taken as 0); repeated rows count each time; other columns are ignored.
+doc_id is learned from (its checksum is taken as 0); repeated rows count each time; a very long text is one batch,
+whole; there are no ties; where nothing is learned from, every word is unknown; kept columns pass unchanged whatever
+their names, and an output whose name is taken has an underscore behind it.
 """
 
 from __future__ import annotations
@@ -26,7 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -35,8 +46,8 @@ from .tokens import U64, chain, mix, pieces
 END = U64(0x5851F42D4C957F2D)
 BASE = 1.5
 BITS, PROBES = 8, 5
-FLUSH = 2_000_000  # tokens whose n-grams a training task holds before it emits them
-BATCH = 1_500_000  # tokens whose n-grams a scoring task probes at once
+BATCH = 1_500_000  # tokens that are keyed and scored at once
+SHARD_BYTES = 12 << 20  # of text whose n-grams a shard holds: some six million keys
 ORDERS = 3
 
 #: The least count of each level.
@@ -75,28 +86,29 @@ def grams(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-# Training
+# Keys and their way to the shards and back
 
 
-def _count(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, with their summed counts."""
+def distinct(keys: np.ndarray, order: int, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of an order as they are sent, distinct and sorted, and how many of each are learned."""
+    keys = np.sort((keys >> U64(1 if order == 1 else 16)) << U64(1) | learned.astype(U64))
+    bit = (keys & U64(1)).astype(np.int64)
+    keys >>= U64(1)
     if not len(keys):
-        return keys, np.empty(0, np.int64)
-    order = None
-    if counts is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys)
-        keys = keys[order]
+        return keys, bit
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sums = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts[order], first)
-    return keys[first], sums
+    return keys[first], np.add.reduceat(bit, first)
+
+
+def _steps(width: int) -> int:
+    return (1 << (8 * width)) - 1
 
 
 def _encode(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences of six bytes, eight where one needs more; counts of one byte with the larger ones apart."""
+    """Sorted keys as differences of four bytes, six or eight where one needs more; counts of one byte with the larger ones apart."""
     steps = np.diff(keys, prepend=U64(0))
-    wide = 6 if not len(steps) or int(steps[1:].max(initial=0)) < 1 << 48 else 8
+    most = int(steps[1:].max(initial=0))
+    wide = next(w for w in (4, 6, 8) if most <= _steps(w))
     first = keys[:1].tobytes() or b"\0" * 8
     body = steps[1:].view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
     big = np.flatnonzero(counts > 255)
@@ -119,35 +131,69 @@ def _decode(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps.reshape(-1).view(U64)), counts
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """The key's range of the key space; ascending with the key."""
-    return ((keys >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+def shard_of(keys: np.ndarray, order: int, shards: int) -> np.ndarray:
+    """The range of the key space in which a sent key lies; ascending with the key."""
+    return ((keys >> U64(31 if order == 1 else 16)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
-def _emit(held: list[list[np.ndarray]], shards: int) -> Iterator[pa.RecordBatch]:
-    for order, parts in enumerate(held, 1):
-        keys, counts = _count(np.concatenate(parts) if parts else np.empty(0, U64))
-        cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-        blobs = [(s, _encode(keys[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        if blobs:
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in blobs], pa.int32()), pa.array([order] * len(blobs), pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["shard", "gram", "blob"])
+class _Batch:
+    """Rows that are keyed and scored together."""
 
+    def __init__(self) -> None:
+        self.rows: list[pa.Array] = []
+        self.texts: list[pa.Array] = []
+        self.tokens: list[np.ndarray] = []
+        self.at: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, piece, row: pa.Array, text: pa.Array) -> None:  # noqa: ANN001
+        tokens, bounds, at = stream(piece)
+        self.rows.append(row)
+        self.texts.append(text)
+        self.tokens.append(tokens)
+        self.at.append(at)
+        self.sizes.append(np.diff(bounds))
+        self.n += len(tokens)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.concatenate(self.tokens), np.concatenate(self.at), np.concatenate(self.sizes)
+
+
+def _keyer(uri: str, shards: int):
+    """Writes the batches of a partition and sends their keys: (shard, gram, batch, blob)."""
 
-def _counter(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
-        n = 0
+        part, number, now, learn = TaskContext.get().partitionId(), 0, _Batch(), []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            tokens, at, sizes = now.arrays()
+            name = f"{part:06d}-{number:06d}-{int(mix(tokens + np.arange(len(tokens), dtype=U64)).sum(dtype=U64)):016x}"
+            out = pa.BufferOutputStream()
+            table = pa.record_batch([pa.concat_arrays(now.rows), pa.concat_arrays(now.texts)], ["row", "text"])
+            with pa.ipc.new_file(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(table)
+            shared.put(f"{uri}/{name}", out.getvalue().to_pybytes())
+            learned = np.repeat(np.concatenate(learn), sizes)
+            rows = []
+            for k, keys in enumerate(grams(tokens, at), 1):
+                some = at >= k - 1
+                keys, counts = distinct(keys[some], k, learned[some])
+                cuts = np.searchsorted(shard_of(keys, k, shards), np.arange(shards + 1))
+                rows += [(s, k, name, _encode(keys[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.binary()))], ["shard", "gram", "batch", "blob"])
+
         for batch in batches:
-            for piece in pieces(batch.column("text")):
-                tokens, _, at = stream(piece)
-                for k, keys in enumerate(grams(tokens, at)):
-                    held[k].append(keys[at >= k])
-                n += len(tokens)
-                if n >= FLUSH:
-                    yield from _emit(held, shards)
-                    held, n = [[] for _ in range(ORDERS)], 0
-        if n:
-            yield from _emit(held, shards)
+            column, flags = batch.column("text"), batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+            for piece in pieces(column):
+                end = piece.first + piece.docs
+                now.add(piece, batch.column("row").slice(piece.first, piece.docs), column.slice(piece.first, piece.docs))
+                learn.append(flags[piece.first : end])
+                if now.n >= BATCH:
+                    yield from close()
+                    number, now, learn = number + 1, _Batch(), []
+        if now.n:
+            yield from close()
 
     return run
 
@@ -177,37 +223,44 @@ def _filter(keys: np.ndarray, lev: np.ndarray) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
-def _builder(uri: str):
-    """Merges each shard of a partition and writes its words and filter; returns its sums by order and level."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
-        for batch in batches:
-            for s, k, blob in zip(batch.column("shard").to_pylist(), batch.column("gram").to_pylist(), batch.column("blob"), strict=True):
-                have = parts.setdefault(s, [[] for _ in range(ORDERS)])[k - 1]
-                have.append(_decode(blob.as_buffer().to_pybytes()))
-                if len(have) > 1 and sum(len(a) for a, _ in have[1:]) > max(4_000_000, 2 * len(have[0][0])):
-                    have[:] = [_count(np.concatenate([a for a, _ in have]), np.concatenate([b for _, b in have]))]
-        rows = []
-        for s, orders in parts.items():
-            keys, levels = [], []
-            for k, have in enumerate(orders, 1):
-                a, b = _count(np.concatenate([x for x, _ in have] or [np.empty(0, U64)]), np.concatenate([x for _, x in have] or [np.empty(0, np.int64)]))
-                lev = level(b)
-                if k == 1:
-                    shared.put(f"{uri}/words-{s}", shared.pack([a, b]))
-                else:
-                    keys.append(a)
-                    levels.append(lev)
-                by = np.bincount(lev, minlength=1)
-                sums = np.bincount(lev, weights=b, minlength=1)
-                for j in np.flatnonzero(by).tolist():
-                    rows.append((k, j, int(by[j]), int(sums[j])))
-            bloom = _filter(np.concatenate(keys), np.concatenate(levels))
-            shared.put(f"{uri}/filter-{s}", bloom.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["gram", "level", "n", "total"])
-
-    return run
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's answers (batch, gram, shard, blob) and, without a batch, its sums (gram, level, n, total)."""
+    sent: list[list[tuple[str, np.ndarray, np.ndarray]]] = [[] for _ in range(ORDERS)]
+    shard = 0
+    for batch in batches:
+        for shard, k, name, blob in zip(batch.column("shard").to_pylist(), batch.column("gram").to_pylist(), batch.column("batch").to_pylist(), batch.column("blob"), strict=True):  # noqa: B007
+            sent[k - 1].append((name, *_decode(blob.as_buffer().to_pybytes())))
+    found, sums = [], []
+    for k, parts in enumerate(sent, 1):
+        keys = np.concatenate([x for _, x, _ in parts] or [np.empty(0, U64)])
+        counts = np.concatenate([x for _, _, x in parts] or [np.empty(0, np.int64)])
+        bounds = np.cumsum([0, *(len(x) for _, x, _ in parts)])
+        names = [x for x, _, _ in parts]
+        parts.clear()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(counts[order], first) if len(first) else np.empty(0, np.int64)
+        where = np.empty(len(order), np.int32)
+        where[order] = np.cumsum(new) - 1
+        has = total > 0
+        lev = level(total[has])
+        by, weight = np.bincount(lev, minlength=1), np.bincount(lev, weights=total[has], minlength=1)
+        sums += [(k, j, int(by[j]), int(weight[j])) for j in np.flatnonzero(by).tolist()]
+        found.append((keys[first], has, total, lev, where, bounds, names))
+    longer = found[1:]
+    bloom = _filter(np.concatenate([f[0][f[1]] for f in longer]), np.concatenate([f[3] for f in longer]))
+    rows = []
+    for k, (keys, _, total, _, where, bounds, names) in enumerate(found, 1):
+        values = total if k == 1 else probe(bloom, keys)
+        for name, a, b in zip(names, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            rows.append((name, k, shard, values[where[a:b]].tobytes(), None, None, None))
+    rows += [(None, k, shard, None, j, n, t) for k, j, n, t in sums]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    names = ["batch", "gram", "shard", "blob", "level", "n", "total"]
+    for at in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 256]], t) for i, t in enumerate(kinds)], names)
 
 
 def _beta(levels: dict[int, tuple[int, int]], distinct: int) -> float:
@@ -222,11 +275,10 @@ def _beta(levels: dict[int, tuple[int, int]], distinct: int) -> float:
     return (low + high) / 2
 
 
-class Model:
-    """What a scoring task needs: the folder of the shards, and a few sums."""
+class Sums:
+    """What scoring needs to know of the whole corpus: a few sums by order and level."""
 
-    def __init__(self, uri: str, shards: int, sums: list[tuple[int, int, int, int]]):
-        self.uri, self.shards = uri, shards
+    def __init__(self, sums: list[tuple[int, int, int, int]]):
         by: dict[int, dict[int, tuple[int, int]]] = {k: {} for k in range(1, ORDERS + 1)}
         for k, j, n, total in sums:
             by[k][j] = (n, total)
@@ -238,42 +290,34 @@ class Model:
             self.discount[k] = min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
             self.beta[k] = _beta(by[k - 1], sum(n for n, _ in by[k].values()))
 
-    def look_up(self, keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Exact counts of the words and quantised counts of the longer n-grams; one shard is open at a time."""
-        words = np.zeros(len(keys[0]), np.int64)
-        counts = [np.zeros(len(k), np.uint8) for k in keys[1:]]
-        orders = []
-        for k in keys:
-            s = shard_of(k, self.shards).astype(np.uint16 if self.shards < 1 << 16 else np.int64)
-            orders.append((o := np.argsort(s, kind="stable"), np.searchsorted(s[o], np.arange(self.shards + 1))))
-        for s in range(self.shards):
-            own = [o[c[s] : c[s + 1]] for o, c in orders]
-            if len(own[0]):
-                try:
-                    have, n = shared.unpack(shared.get(f"{self.uri}/words-{s}"), [U64, np.int64])
-                except FileNotFoundError:
-                    have = np.empty(0, U64)
-                if len(have):
-                    asked, back = np.unique(keys[0][own[0]], return_inverse=True)
-                    at = np.minimum(np.searchsorted(have, asked), len(have) - 1)
-                    words[own[0]] = np.where(have[at] == asked, n[at], 0)[back]
-            if any(map(len, own[1:])):
-                try:
-                    bloom = shared.get(f"{self.uri}/filter-{s}")
-                except FileNotFoundError:
-                    continue
-                for k, rows, out in zip(keys[1:], own[1:], counts, strict=True):
-                    self._probe(bloom, k[rows], rows, out)
-        return words, counts
-
-    @staticmethod
-    def _probe(bloom: np.ndarray, keys: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
-        bits, j = len(bloom) * 8, 0
-        while len(keys):
-            j += 1
-            live = _present(bloom, keys, j, bits)
-            keys, rows = keys[live], rows[live]
-            out[rows] = j
+    def probabilities(self, at: np.ndarray, words: np.ndarray, longer: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token the add-one and the model's probability, from exact word counts and the levels of longer n-grams (where at reaches them)."""
+        base = (words + 1) / (self.total + self.vocabulary + 1)
+        p = base.copy()
+        history = words.astype(float)  # of the n-gram that ends at each token, one order down
+        for k, lev in enumerate(longer, 2):
+            where = np.flatnonzero(at >= k - 1)
+            before = history[where - 1]
+            count = np.minimum(LEVEL_COUNT[lev], np.minimum(before, history[where]))
+            seen = before >= 1
+            where_, count_, before = where[seen], count[seen], before[seen]
+            d = self.discount[k]
+            kinds = np.minimum(before ** self.beta[k], before)
+            p[where_] = np.maximum(count_ - d, 0) / before + np.minimum(d * kinds / before, 0.999) * p[where_]
+            history = np.zeros(len(words))
+            history[where] = count
+        return base, np.minimum(p, 1.0)
+
+
+def probe(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The level of each key, probed level after level until one is missing."""
+    out, rows, j = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
+    while len(keys):
+        j += 1
+        live = _present(bloom, keys, j, len(bloom) * 8)
+        keys, rows = keys[live], rows[live]
+        out[rows] = j
+    return out
 
 
 def _present(bloom: np.ndarray, keys: np.ndarray, j: int, bits: int) -> np.ndarray:
@@ -290,68 +334,69 @@ def _present(bloom: np.ndarray, keys: np.ndarray, j: int, bits: int) -> np.ndarr
     return left
 
 
-def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Model:
-    """Learn from all rows of docs.  shards: files of the model, at least as many as the shuffle has partitions."""
-    spark = docs.sparkSession
-    shards = shards or shared.partitions(spark)
-    uri = shared.place(spark, "lm")
-    rows = (
-        docs.select(F.col(text).cast("binary").alias("text"))
-        .mapInArrow(_counter(shards), "shard int, gram int, blob binary")
-        .repartitionById(shards, F.col("shard"))
-        .mapInArrow(_builder(uri), "gram long, level long, n long, total long")
-        .groupBy("gram", "level")
-        .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-        .collect()  # at most ORDERS * the number of levels
-    )
-    return Model(uri, shards, [tuple(r) for r in rows])
-
-
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep``, and n_tokens, n_known, train_tokens, base_score and score of each row."""
-    plain = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
-
-    def scored(lines: list[pa.RecordBatch], got: list) -> pa.RecordBatch:
-        tokens = np.concatenate([t for t, _, _ in got])
-        at = np.concatenate([a for _, _, a in got])
-        sizes = np.concatenate([np.diff(b) for _, b, _ in got])
-        keys = grams(tokens, at)
-        c, longer = model.look_up([keys[0], *(k[at >= i] for i, k in enumerate(keys[1:], 1))])
+_OUTPUTS = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scorer(uri: str, sums: Sums):
+    """Scores each batch of a stream of answers sorted by (batch, gram, shard)."""
+
+    def scored(name: str, answers: list[list[bytes]]) -> pa.RecordBatch:
+        raw = pa.py_buffer(shared.get(f"{uri}/{name}"))
+        table = pa.ipc.open_file(raw).read_all().combine_chunks().to_batches()[0]
+        now = _Batch()
+        for piece in pieces(table.column("text")):
+            now.add(piece, None, None)
+        tokens, at, sizes = now.arrays()
+        counts = []
+        for k, keys in enumerate(grams(tokens, at), 1):
+            keys = keys[at >= k - 1] >> U64(1 if k == 1 else 16)
+            _, back = np.unique(keys, return_inverse=True)
+            values = np.frombuffer(b"".join(answers[k - 1]), np.int64 if k == 1 else np.uint8)
+            if len(values) != int(back.max(initial=-1)) + 1:
+                raise ValueError(f"batch {name}: {len(values)} answers to order {k}; the rows of docs were others when they were read again")
+            counts.append(values[back])
+        base, p = sums.probabilities(at, counts[0], counts[1:])
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        p = (c + 1) / (model.total + model.vocabulary + 1)
-        base = np.log10(p)
-        history = c.astype(float)  # of the n-gram that ends at each token, one order down
-        for k, lev in enumerate(longer, 2):
-            where = np.flatnonzero(at >= k - 1)
-            before = history[where - 1]
-            count = np.minimum(LEVEL_COUNT[lev], np.minimum(before, history[where]))
-            seen = before >= 1
-            where, count_, before = where[seen], count[seen], before[seen]
-            d = model.discount[k]
-            kinds = np.minimum(before ** model.beta[k], before)
-            p[where] = np.maximum(count_ - d, 0) / before + np.minimum(d * kinds / before, 0.999) * p[where]
-            history = np.zeros(len(tokens))
-            history[at >= k - 1] = count
-        sums = [np.add.reduceat(x, first) for x in (c > 0, base, np.log10(np.minimum(p, 1.0)))]
-        batch = pa.Table.from_batches(lines).combine_chunks().to_batches()[0]
-        out = [batch.column(k) for k in keep]
-        return pa.RecordBatch.from_arrays([*out, pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(sizes), model.total, np.int64)), pa.array(sums[1]), pa.array(sums[2])], [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        known, low, high = (np.add.reduceat(x, first) for x in (counts[0] > 0, np.log10(base), np.log10(p)))
+        return pa.RecordBatch.from_arrays([table.column("row"), pa.array(sizes, pa.int64()), pa.array(known.astype(np.int64)), pa.array(np.full(len(sizes), sums.total, np.int64)), pa.array(low), pa.array(high)], ["row", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, got, n = [], [], 0
+        name, answers = None, [[] for _ in range(ORDERS)]
         for batch in batches:
-            for piece in pieces(batch.column("__text")):
-                got.append(stream(piece))
-                lines.append(batch.slice(piece.first, piece.docs).select(keep))
-                n += len(got[-1][0])
-                if n >= BATCH:
-                    yield scored(lines, got)
-                    lines, got, n = [], [], 0
-        if got:
-            yield scored(lines, got)
+            for n, k, blob in zip(batch.column("batch").to_pylist(), batch.column("gram").to_pylist(), batch.column("blob"), strict=True):
+                if n != name:
+                    if name is not None:
+                        yield scored(name, answers)
+                    name, answers = n, [[] for _ in range(ORDERS)]
+                answers[k - 1].append(blob.as_py())
+        if name is not None:
+            yield scored(name, answers)
+
+    return run
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name in keep)
-    return plain.mapInArrow(run, f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+def score(docs: DataFrame, keep: list[str], learn: Column | None = None, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """keep, n_tokens, n_known, train_tokens, base_score and score of each row of docs, by a model of those rows for which learn is true (by default of all).
+
+    Other documents are scored by a corpus's model in one union with it: ``learn`` tells the two apart.
+    """
+    spark = docs.sparkSession
+    t = F.col(f"`{text}`").cast("binary")
+    plain = shared.packed(docs, keep, text=F.coalesce(t, F.lit(b"")), learn=F.coalesce(F.lit(True) if learn is None else learn, F.lit(False)))
+    size = docs.agg(F.sum(F.octet_length(t))).first()[0] or 0
+    shards = size // shard_bytes + 1
+    uri = shared.place(spark, "lm-batches")
+    answers = (
+        plain.mapInArrow(_keyer(uri, shards), "shard int, gram int, batch string, blob binary")
+        .repartitionById(shards, F.col("shard"))
+        .mapInArrow(_answers, "batch string, gram int, shard int, blob binary, level long, n long, total long")
+    )
+    answers = shared.materialise(answers, "lm-answers")
+    rows = answers.where("batch is null").groupBy("gram", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # at most ORDERS * the number of levels
+    sums = Sums([tuple(r) for r in rows])
+    back = answers.where("batch is not null").select("batch", "gram", "shard", "blob").repartition(max(shards, shared.partitions(spark)), "batch").sortWithinPartitions("batch", "gram", "shard")
+    schema = shared.widened(plain, _OUTPUTS)
+    return shared.beside(back.mapInArrow(_scorer(uri, sums), schema), keep, schema.names[1:])
 
 
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)), 0) % 7 = 2"
@@ -359,5 +404,4 @@ HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)), 0) % 7 = 2"
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.expr(HELD_OUT).alias("held_out"))
-    model = train(docs.where(~F.col("held_out")))
-    return score(docs, model, ["doc_id", "held_out"])
+    return score(docs, ["doc_id", "held_out"], ~F.col("held_out"))
