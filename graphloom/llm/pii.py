@@ -5,15 +5,19 @@ Patterns find the protected entities: e-mail addresses, IP addresses, payment ca
 A term of a document, anywhere outside its entities, discloses an entity of the document
 if its pointwise mutual information with it, estimated over the documents of the corpus, is at least
 ``DISCLOSURE`` of the entity's own information: ``log2(N n(t,e) / (n(t) n(e))) >= DISCLOSURE * log2(N / n(e))``.
-The estimate is trusted from ``SUPPORT`` documents on in which both occur.  Disclosing terms become
-spans of kind ``term`` wherever they stand in a document with the entity; ``sanitised`` removes entities and generalises terms.
+The estimate is trusted from ``SUPPORT`` documents on in which both occur.  Copies are no evidence: of documents that
+hold entities and are near copies of one another (operator 7), one counts, in N too.  Disclosing terms become
+spans of kind ``term`` wherever they stand in a document with the entity, copies included; ``sanitised`` replaces entities
+by their kind and generalises terms to a class that nearly every document has (number, name, word), or removes them.
 
 One pass finds entities and keeps the texts that hold any; entities of too few documents for support end there.
-A second counts the documents of the terms beside the others.  A term of more documents than allows it to
-disclose an entity is not paired with it; all statistics cover all documents.
+A second counts the documents of all terms: a task sums what it has seen and sends one row a term, so nothing that grows
+with the corpus is held.  A term of more documents than allows it to disclose an entity is not paired with it.
 
-Defined cases: a null text is empty; rows that repeat count as documents of their own; null ids are kept;
-an empty table gives no rows; other columns are ignored.
+Defined cases: a null or empty text has no entities; rows that repeat are copies, and flagged each; null ids are kept;
+a very long text is scanned whole, in linear time; a term at exactly the threshold discloses (a tie); an empty table
+gives no rows; other columns pass unchanged whatever their names, and an output whose name is taken has an underscore
+behind it.
 """
 
 from __future__ import annotations
@@ -27,18 +31,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import near_dedup, shared
 from .tokens import ALNUM, U64, pieces
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 2
 DISCLOSURE = 0.7
-SHARDS_ROWS = 4_000_000  # candidate terms a file
+FLUSH = 4_000_000  # terms of documents that a counting task holds
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DIGIT = re.compile(r"[0-9]")
-_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")  # from the left of a run of digits only: linear
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -146,7 +150,7 @@ def _hashes(words: list[str]) -> np.ndarray:
 _SCANNED = "id long, base array<struct<start: long, kind: int, end: long>>, names array<long>, held string"
 
 
-def _scanner(keep: list[str]):
+def _scanner(inside: str | None):
     """The entities of each row, the hashes of their names, and the text of rows that hold any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +158,7 @@ def _scanner(keep: list[str]):
         base_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
         for batch in batches:
             base, names, held = [], [], []
-            for text in batch.column("__text"):
+            for text in shared.texts(batch, inside):
                 text = text.as_py() or ""
                 found = entities(text)
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
@@ -162,24 +166,26 @@ def _scanner(keep: list[str]):
                 held.append(text if found else None)
             ids = pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64))
             row += batch.num_rows
-            columns = [ids, pa.array(base, base_type), pa.array(names, pa.list_(pa.int64())), pa.array(held, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *columns], [*keep, "id", "base", "names", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pa.array(base, base_type), pa.array(names, pa.list_(pa.int64())), pa.array(held, pa.string())], ["row", "id", "base", "names", "held"])
 
     return run
 
 
+def _term_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The first row of each piece of a column of texts, and the distinct terms, of three signs or more, of its rows outside their entities."""
+    for piece in pieces(_blank(column)[0], ALNUM):
+        h, at = piece.hashes(), piece.word_bounds
+        signs = np.concatenate([[0], np.cumsum((piece.data & 0xC0) != 0x80)])
+        long = signs[piece.ends] - signs[piece.starts] >= 3
+        yield piece.first, [np.unique(h[a:b][long[a:b]]).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct terms, of three signs or more, of each row outside its entities."""
     for batch in batches:
-        blank, _ = _blank(batch.column("held"))
-        for piece in pieces(blank, ALNUM):
-            h, at = piece.hashes(), piece.word_bounds
-            signs = np.concatenate([[0], np.cumsum((piece.data & 0xC0) != 0x80)])
-            long = signs[piece.ends] - signs[piece.starts] >= 3
-            sets = [np.unique(h[a:b][long[a:b]]).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+        for first, sets in _term_sets(batch.column("held")):
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
             terms = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets))).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(piece.first, piece.docs), terms], ["id", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(sets)), terms], ["id", "terms"])
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,83 +200,71 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, kind)], ["id", "terms"])
 
 
-def _counter(uri: str, files: int):
-    """Counts, for each candidate term, the documents of the partition that have it outside entities."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): in how many of the task's rows each term is, summed before it is sent."""
+    held, n = [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = []
-        for f in range(files):
-            try:
-                known.append(shared.get(f"{uri}/{f}").view(U64))
-            except FileNotFoundError:
-                continue
-        sums = [np.zeros(len(k), np.int64) for k in known]
-        for batch in batches:
-            for piece in pieces(_blank(batch.column("text"))[0], ALNUM):
-                h = piece.hashes()
-                doc = np.repeat(np.arange(piece.docs), piece.sizes)
-                for terms, n in zip(known, sums, strict=True):
-                    if not len(terms):
-                        continue
-                    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-                    hit = terms[at] == h
-                    both = np.unique(doc[hit] * len(terms) + at[hit]) % len(terms)
-                    n += np.bincount(both, minlength=len(terms))
-        for terms, n in zip(known, sums, strict=True):
-            has = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(terms[has].view(np.int64)), pa.array(n[has])], ["term", "n"])
+    def emit() -> pa.RecordBatch:
+        terms, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], ["term", "n"])
 
-    return run
+    for batch in batches:
+        for _, sets in _term_sets(batch.column("text")):
+            held += sets
+            n += sum(map(len, sets))
+            if n >= FLUSH:
+                yield emit()
+                held, n = [], 0
+    if held:
+        yield emit()
 
 
-def _frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_term): in how many rows of texts each of the terms is, outside entities."""
-    spark = texts.sparkSession
-    uri = shared.place(spark, "terms")
-    files = terms.count() // SHARDS_ROWS + 1
+def find(docs: DataFrame, keep: list[str], text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """keep, base and terms of each row of docs: arrays of (start, kind, end) in code points; kind is the place in KINDS."""
+    return shared.beside(_found(docs, keep, text, support, disclosure), keep, ["base", "terms"])
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            f, t = batch.column("file").to_numpy(), batch.column("term").to_numpy().view(U64)
-            for i in np.unique(f).tolist():
-                by.setdefault(i, []).append(t[f == i])
-        for i, parts in by.items():
-            shared.put(f"{uri}/{i}", np.sort(np.concatenate(parts)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32())], ["file"])
 
-    terms.withColumn("file", F.pmod("term", F.lit(files)).cast("int")).repartitionById(files, F.col("file")).mapInArrow(write, "file int").count()
-    return texts.mapInArrow(_counter(uri, files), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+def _found(docs: DataFrame, keep: list[str], text: str, support: int, disclosure: float) -> DataFrame:
+    spark = docs.sparkSession
+    inside = text if text in keep else None
+    plain = shared.packed(docs, keep) if inside else shared.packed(docs, keep, text=F.col(f"`{text}`"))
+    scanned = shared.materialise(plain.mapInArrow(_scanner(inside), shared.widened(plain, _SCANNED)), "entities")
+    with shared.kept(spark) as keep_table:
+        terms = keep_table(_disclosing(docs.select(F.col(f"`{text}`").alias("text")), scanned, support, disclosure), "disclosing")
+    out = scanned.drop("names", "held").join(terms, "id", "left").drop("id")
+    return out.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)")))
 
 
-def find(docs: DataFrame, keep: list[str], text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """keep, base and terms of each row of docs: arrays of (start, kind, end) in code points; kind is the place in KINDS."""
-    plain = docs.select(*keep, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name in keep)
-    scanned = shared.materialise(plain.mapInArrow(_scanner(keep), f"{fields}, {_SCANNED}"), "entities")
-    total = scanned.count()
+def _disclosing(texts: DataFrame, scanned: DataFrame, support: int, disclosure: float) -> DataFrame:
+    """(id, terms): the spans of the disclosing terms of rows that have any."""
+    rows = scanned.count()
     named = scanned.select("id", F.explode("names").alias("entity"))
-    of_entity = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # what cannot reach the support or any information takes no further part
-    of_entity = shared.materialise(of_entity.where((F.col("n_entity") >= support) & (F.col("n_entity") < total)), "shared_entities")
-    named = shared.materialise(named.join(of_entity, "entity"), "named")
-    holders = scanned.select("id", "held").join(named.select("id").distinct(), "id", "left_semi")
-    termed = shared.materialise(holders.mapInArrow(_termed, "id long, terms array<long>"), "terms").select("id", F.explode("terms").alias("term"))
-    common = shared.materialise(termed.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("term"), "candidates")
+    # what cannot reach the support takes no further part
+    often = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("entity")
+    named = shared.materialise(named.join(often, "entity"), "named")
+    holders = shared.materialise(scanned.select("id", "held").join(named.select("id").distinct(), "id", "left_semi"), "holders")
+    # of near copies among them one is evidence
+    copies = shared.materialise(near_dedup.near_duplicates(holders.select(F.col("id").alias("doc_id"), F.col("held").alias("text"))).where("not kept").select(F.col("doc_id").alias("id")), "copies")
+    total = rows - copies.count()
+    sole = named.join(copies, "id", "left_anti")
+    of_entity = sole.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < total))
     # n_both is at most n_entity, so a term of more documents than this cannot disclose the entity (0.1 % for rounding)
     most = 1.001 * F.pow(F.lit(float(max(total, 1))), F.lit(1.0 - disclosure)) * F.pow(F.col("n_entity").cast("double"), F.lit(float(disclosure)))
-    named = named.withColumn("most", most)
-    bound = named.agg(F.max("most")).first()[0] or 0.0
-    of_term = shared.materialise(_frequencies(docs.select(F.col(text).alias("text")), common).where(F.col("n_term") <= bound), "frequencies")
-    pairs = termed.join(of_term, "term").join(named, "id").where(F.col("n_term") <= F.col("most"))
+    of_entity = shared.materialise(of_entity.withColumn("most", most), "shared_entities")
+    bound = of_entity.agg(F.max("most")).first()[0] or 0.0
+    termed = shared.materialise(holders.mapInArrow(_termed, "id long, terms array<long>"), "terms").select("id", F.explode("terms").alias("term"))
+    evidence = termed.join(copies, "id", "left_anti")
+    common = shared.materialise(evidence.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("term"), "candidates")
+    of_copies = termed.join(copies, "id", "left_semi").select("term", F.lit(-1).cast("long").alias("n"))
+    everywhere = texts.mapInArrow(_counted, "term long, n long").union(of_copies).groupBy("term").agg(F.sum("n").alias("n_term"))
+    of_term = shared.materialise(everywhere.join(common, "term").where(F.col("n_term") <= bound), "frequencies")
+    pairs = evidence.join(of_term, "term").join(sole.join(of_entity, "entity"), "id").where(F.col("n_term") <= F.col("most"))
     together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= support)
     information = F.log2(F.lit(total) / F.col("n_entity"))
     mutual = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     telling = shared.materialise(together.where(mutual >= disclosure * information).select("entity", "term"), "telling")
-    of_row = termed.join(named.select("id", "entity").join(telling, "entity"), ["id", "term"]).groupBy("id").agg(F.collect_set("term").alias("telling"))
-    terms = holders.join(of_row, "id").mapInArrow(_marked, "id long, terms array<struct<start: long, kind: int, end: long>>")
-    out = scanned.drop("names", "held").join(terms, "id", "left").drop("id")
-    return out.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)")))
+    of_row = termed.join(named.join(telling, "entity"), ["id", "term"]).groupBy("id").agg(F.collect_set("term").alias("telling"))
+    return holders.join(of_row, "id").mapInArrow(_marked, "id long, terms array<struct<start: long, kind: int, end: long>>")
 
 
 def _written(spans: str) -> str:
@@ -278,30 +272,37 @@ def _written(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat(element_at(array({names}), s.kind + 1), ':', s.start, ':', s.end)), ',')"
 
 
-def _replacer(columns: list[str], text: str):
+def generalised(term: str) -> str:
+    """The class of a term; nearly every document has one of each, so it discloses nothing."""
+    return "[NUMBER]" if term.isdigit() else "[NAME]" if term[:1].isupper() else "[WORD]"
+
+
+def _replacer(text: str, generalise: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, spans in zip(batch.column(text).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for t, spans in zip(batch.column("row").field(text).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 if t is None or not spans:
                     out.append(t)
                     continue
                 done, at = [], 0
                 for s in spans:
                     if s["end"] > at:
-                        done += [t[at : max(at, s["start"])], f"[{KINDS[s['kind']].upper()}]"]
+                        kind = KINDS[s["kind"]]
+                        instead = f"[{kind.upper()}]" if kind != "term" else generalised(t[s["start"] : s["end"]]) if generalise else ""
+                        done += [t[at : max(at, s["start"])], instead]
                         at = s["end"]
                 out.append("".join([*done, t[at:]]))
-            i = columns.index(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if j == i else batch.column(c) for j, c in enumerate(columns)], columns)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "t"])
 
     return run
 
 
-def sanitised(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """docs with its entities and disclosing terms replaced by their kind in brackets."""
-    found = find(docs, docs.columns, text, support, disclosure).withColumn("__spans", F.array_sort(F.concat("base", "terms")))
-    return found.mapInArrow(_replacer(docs.columns, text), docs.schema)
+def sanitised(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, generalise: bool = True) -> DataFrame:
+    """docs with entities replaced by their kind in brackets, and disclosing terms generalised, or else removed."""
+    found = _found(docs, docs.columns, text, support, disclosure).select("row", F.array_sort(F.concat("base", "terms")).alias("spans"))
+    out = found.mapInArrow(_replacer(text, generalise), shared.widened(found, "t string"))
+    return out.select(*(F.col("t").alias(k) if k == text else F.col("row")[k].alias(k) for k in docs.columns))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
