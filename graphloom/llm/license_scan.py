@@ -3,92 +3,75 @@
 After German, Manabe and Inoue, "A sentence-matching method for automatic license identification of
 source code files" (2010).  A text is cut into sentences (after ``.``, ``!`` or ``?`` and white space, or at a line's end
 unless the next line goes on in lower case); each is normalised (A-Z lower-cased, everything but
-letters and digits to single blanks) and looked up among the known licence sentences.  Identifiers of
-neighbouring sentences form sequences; the licence rules, in order, each consume their sequence.
-Identifiers that no rule consumes make the licence ``UNKNOWN``.
+letters and digits to single blanks) and looked up among the known licence sentences, or, if it refers to a licence
+("licensed under the ...", an SPDX line), its name among the known names.  Identifiers of neighbouring sentences form
+sequences; the licence rules, in order, each consume their sequence.  Identifiers that no rule consumes make the licence
+``UNKNOWN``.  The tables are in ``licences``; ``scan`` takes others (``Knowledge``).
 
 Before that, each known sentence that is wrapped, whatever its lines begin with (blanks, ``#``, ``*``, ``//``, a blank
-line before an address), is put on one line of its own, if it begins and ends where a sentence may: at a full
-stop, or at a line's end that the next line does not go on from in lower case.  A list number before it goes, and the
-disclaimer between the two known sentences of the GPL header is read with the second.  ``ORACLE_SQL`` does not
-do this step; the two agree on texts without such notices.
+line before an address), is taken out whole, if it begins and ends where a sentence may: at a full
+stop, or at a line's end that the next line does not go on from in lower case.  A list number before it goes.
+``ORACLE_SQL`` does not do this step; the two agree on texts without such notices.
 
-Every known sentence contains one of ``ANCHORS``, which is checked when this module loads; a text without any
+Every known sentence contains one of the anchors, which is checked when this module loads; a text without any
 is not cut at all.  Nothing shuffles: one pass, one row in and out.
 
-Defined cases: a null text has no sentences; a sentence that repeats counts each time, its licence is named once;
-an empty table gives no rows; repeated rows are scanned each; other columns are ignored.
+Defined cases: a null or empty text has no sentences; a sentence that repeats counts each time, its licence is named once;
+of rules that fit the same sentences the first counts (ties); a very long text is scanned whole, in one row; an empty
+table gives no rows; repeated rows are scanned each; other columns pass unchanged whatever their names, and an output
+whose name is taken has an underscore behind it.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_KNOWN = {
-    "MitRef": "Released under the MIT License|Licensed under the MIT License|This project is licensed under the MIT License|This software is released under the MIT License",
-    "MitGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "MitNotice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-    "Apache2Ref": "Licensed under the Apache License, Version 2.0|Licensed under the Apache License, Version 2.0 (the \"License\")|Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
-    "Apache2Copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "Apache2AsIs": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
-    "Gpl3Ref": "This work is licensed under the GNU General Public License, version 3|Licensed under the GNU General Public License, version 3",
-    "Gpl2Ref": "This work is licensed under the GNU General Public License, version 2|Licensed under the GNU General Public License, version 2",
-    "GplFree": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "GplNoWarranty": "See the GNU General Public License for more details",
-    "LgplRef": "Licensed under the GNU Lesser General Public License, version 2.1|Licensed under the GNU Lesser General Public License, version 3",
-    "MplRef": "This Source Code Form is subject to the terms of the Mozilla Public License, v",  # what follows the full stop is a sentence of its own
-    "Bsd3Grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "BsdSource": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
-    "BsdBinary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
-    "CcBy4": "Licensed under CC BY 4.0|This work is licensed under CC BY 4.0|This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CcBySa4": "Licensed under CC BY-SA 4.0|This work is licensed under CC BY-SA 4.0|This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "CcByNc4": "Licensed under CC BY-NC 4.0|This work is licensed under CC BY-NC 4.0|This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-    "Cc0": "Dedicated to the public domain under CC0 1.0|Licensed under CC0 1.0",
-    "AllRights": "All rights reserved",
-}
-
-#: In order: the licence and the identifiers of its sentences, which follow one another.
-RULES = [
-    ("Apache-2.0", ("Apache2Ref", "Apache2Copy", "Apache2AsIs")),
-    ("Apache-2.0", ("Apache2Ref", "Apache2Copy")),
-    ("Apache-2.0", ("Apache2Ref",)),
-    ("MIT", ("MitRef", "MitGrant", "MitNotice")),
-    ("MIT", ("MitGrant", "MitNotice")),
-    ("MIT", ("MitRef",)),
-    ("BSD", ("Bsd3Grant", "BsdSource", "BsdBinary")),
-    ("GPL-3.0-or-later", ("GplFree", "GplNoWarranty")),
-    ("GPL-3.0-or-later", ("GplFree",)),
-    ("GPL-3.0", ("Gpl3Ref", "GplNoWarranty")),
-    ("GPL-3.0", ("Gpl3Ref",)),
-    ("GPL-2.0", ("Gpl2Ref",)),
-    ("LGPL", ("LgplRef",)),
-    ("MPL-2.0", ("MplRef",)),
-    ("CC-BY-4.0", ("CcBy4",)),
-    ("CC-BY-SA-4.0", ("CcBySa4",)),
-    ("CC-BY-NC-4.0", ("CcByNc4",)),
-    ("CC0-1.0", ("Cc0",)),
-    ("All-rights-reserved", ("AllRights",)),
-]
-
-ANCHORS = ("licens", "permission", "rights reserved", "redistribut", "cc by", "cc0", "general public")
-
-
-def normal(sentence: str) -> str:
-    return re.sub(r"[^a-z0-9]+", " ", re.sub(r"[A-Z]", lambda m: m[0].lower(), sentence)).strip()
-
-
-SENTENCES = {normal(s): k for k, v in _KNOWN.items() for s in v.split("|")}
+from . import licences, shared
+from .licences import normal
+
+ANCHORS = ("licens", "licenc", "permission", "rights reserved", "redistribut", "cc by", "cc0", "general public", "public domain", "warranties", "spdx", "written authorization", "copy of the mpl", "advertising materials")
+_NEUTRAL = "_"
+
+
+@dataclass
+class Knowledge:
+    """Sentences (identifier -> wordings), neutral sentences, names (normalised name -> identifier) and rules (licence, identifiers), in order."""
+
+    sentences: dict[str, str] = field(default_factory=lambda: licences.SENTENCES)
+    neutral: list[str] = field(default_factory=lambda: licences.NEUTRAL)
+    names: dict[str, str] = field(default_factory=lambda: licences.NAME_OF)
+    rules: list[tuple[str, tuple[str, ...]]] = field(default_factory=lambda: licences.RULES)
+
+    @property
+    def known(self) -> dict[str, str]:
+        """Normalised sentence -> identifier."""
+        return {normal(x): _NEUTRAL for x in self.neutral} | {normal(x): k for k, v in self.sentences.items() for x in v.split("|")}
+
+    @property
+    def single(self) -> dict[str, str]:
+        """Identifier -> licence, of rules of one sentence; no longer rule comes after them that has it."""
+        return {ids[0]: name for name, ids in reversed(self.rules) if len(ids) == 1}
+
+    @property
+    def sequences(self) -> list[tuple[str, str]]:
+        """(licence, phrase) of the longer rules, in order."""
+        return [(name, "".join(f"<{i}>" for i in ids)) for name, ids in self.rules if len(ids) > 1]
+
+
+DEFAULT = Knowledge()
+SENTENCES = DEFAULT.known
+RULES = DEFAULT.rules
 _ANCHOR = "(?i)(" + "|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS) + ")"
-assert all(re.search(_ANCHOR, s) for s in SENTENCES), [s for s in SENTENCES if not re.search(_ANCHOR, s)]
+assert all(re.search(_ANCHOR, s) for s, k in SENTENCES.items() if k != _NEUTRAL), [s for s in SENTENCES if not re.search(_ANCHOR, s)]
 
 _JOIN = r"[ \t]*\r?\n[ \t]*([a-z])"
 _CUT = r"[.!?]+[ \t]+|[\r\n]+"
 
 
-_NO_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
 _LINE = r"(?:\r?\n(?![ \t]*[a-z])|\r(?!\n))"
 # classes of signs only, each run possessive or ended by a look-ahead: no recursion and no backtracking over long runs
 _BEGIN = rf"(\A|[.!?][ \t\r\n]|{_LINE})[^A-Za-z0-9\r\n.!?]*+(?:(?:[0-9]{{1,2}}|[A-Za-z])[.)][^A-Za-z0-9\r\n]*+)?"
@@ -103,45 +86,54 @@ def _spread(sentence: str) -> str:
     return out.removesuffix("[^A-Za-z0-9.!?]++")
 
 
-def _wrapped() -> list[tuple[str, str]]:
-    """For each identifier, the pattern of its sentences and the line that takes their place."""
-    out = []
-    for k, v in _KNOWN.items():
-        ways = "|".join(_spread(x) for x in sorted(v.split("|"), key=len, reverse=True))
-        before = rf"(?:{_spread(_NO_WARRANTY)}[.][^A-Za-z0-9]++)?" if k == "GplNoWarranty" else ""
-        out.append((rf"{_BEGIN}(?i:{before}(?:{ways})){_END}", f"$1. {v.split('|')[0].rstrip('.:')}. "))
-    return out
+_MARK = "\x01"
+
+
+def _marked(text: Column, knowledge: Knowledge) -> Column:
+    """The text with each known sentence, wrapped as it may be, between two marks: one pass, whose alternatives are tried only where a sentence may begin."""
+    ways = sorted({_spread(x) for v in [*knowledge.sentences.values(), *knowledge.neutral] for x in v.split("|")}, key=lambda x: (-len(x), x))
+    return F.regexp_replace(F.translate(text, _MARK, " "), F.lit(rf"{_BEGIN}(?i:({'|'.join(ways)})){_END}"), F.lit(f"$1{_MARK}$2{_MARK}"))
+
 
+def _normal(sentence: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
 
-def _unwrapped(text: Column) -> Column:
-    for pattern, line in _wrapped():
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(line))
-    return text
 
+def _ids(text: Column, knowledge: Knowledge) -> Column:
+    """The identifier of each sentence that is neither blank nor neutral, '' for unknown ones."""
+    known = F.create_map(*(F.lit(x) for kv in knowledge.known.items() for x in kv))
+    names = F.create_map(*(F.lit(x) for kv in (knowledge.names or {"": ""}).items() for x in kv))
 
-def _ids(text: Column) -> Column:
-    """The identifier of each sentence that is not blank, '' for unknown ones."""
-    known = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
-    parts = F.split(F.regexp_replace(text, _JOIN, " $1"), _CUT, -1)
-    plain = F.filter(F.transform(parts, lambda s: F.btrim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))), lambda s: s != "")
-    return F.transform(plain, lambda s: F.coalesce(F.try_element_at(known, s), F.lit("")))
+    def plain(part: Column) -> Column:
+        return F.transform(F.split(F.regexp_replace(part, _JOIN, " $1"), _CUT, -1), _normal)
 
+    parts = F.transform(F.split(_marked(text, knowledge), _MARK, -1), lambda x, i: F.when(i % 2 == 1, F.array(_normal(x))).otherwise(plain(x)))
+    name = lambda s: F.try_element_at(names, F.regexp_extract(s, licences.REFERS, 1))
+    ids = F.transform(F.filter(F.flatten(parts), lambda s: s != ""), lambda s: F.when(F.rlike(s, F.lit(_ANCHOR)), F.coalesce(F.try_element_at(known, s), name(s), F.lit(""))).otherwise(F.coalesce(F.try_element_at(known, s), F.lit(""))))
+    return F.filter(ids, lambda i: i != _NEUTRAL)
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+
+def scan(docs: DataFrame, text: str = "text", knowledge: Knowledge = DEFAULT) -> DataFrame:
     """docs with sentence_ids and licences (sorted), both arrays."""
     none = F.array().cast("array<string>")
-    out = docs.withColumn("__ids", F.when(F.rlike(F.col(text), F.lit(_ANCHOR)), _ids(_unwrapped(F.col(text)))).otherwise(none))
+    t = F.col(f"`{text}`")
+    out = shared.packed(docs, docs.columns, ids=F.when(F.rlike(t, F.lit(_ANCHOR)), _ids(t, knowledge)).otherwise(none))
     # one word for each sentence, '-' for an unknown one
-    out = out.withColumn("__left", F.concat(F.lit("<"), F.array_join(F.transform("__ids", lambda i: F.when(i == "", "-").otherwise(i)), "><"), F.lit(">")))
-    found = []
-    for k, (_, ids) in enumerate(RULES):
-        phrase = F.lit("".join(f"<{i}>" for i in ids))
-        out = out.withColumn(f"__rule{k}", F.contains("__left", phrase)).withColumn("__left", F.replace(F.col("__left"), phrase, F.lit("<-><->")))
-        found.append(f"__rule{k}")
-    names = [F.when(F.col(c), F.lit(RULES[k][0])) for k, c in enumerate(found)] + [F.when(F.rlike("__left", F.lit("[A-Za-z]")), F.lit("UNKNOWN"))]
-    out = out.withColumn("licences", F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))))
-    out = out.withColumn("sentence_ids", F.filter("__ids", lambda i: i != ""))
-    return out.select(*docs.columns, "sentence_ids", "licences")
+    left = F.concat(F.lit("<"), F.array_join(F.transform("ids", lambda i: F.when(i == "", "-").otherwise(i)), "><"), F.lit(">"))
+    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("phrase")) for n, p in knowledge.sequences))
+    start = F.struct(left.alias("left"), none.alias("found"))
+
+    def consume(state: Column, rule: Column) -> Column:
+        after = F.struct(F.replace(state["left"], rule["phrase"], F.lit("<-><->")).alias("left"), F.array_append(state["found"], rule["name"]).alias("found"))
+        return F.when(F.contains(state["left"], rule["phrase"]), after).otherwise(state)
+
+    some = F.size(F.filter("ids", lambda i: i != "")) > 0
+    out = out.withColumn("state", F.when(some, F.reduce(rules, start, consume) if knowledge.sequences else start))
+    single = F.create_map(*(F.lit(x) for kv in (knowledge.single or {"": ""}).items() for x in kv))
+    rest = F.transform(F.regexp_extract_all("state.left", F.lit("<([A-Za-z0-9]+)>"), F.lit(1)), lambda i: F.coalesce(F.try_element_at(single, i), F.lit("UNKNOWN")))
+    out = out.withColumn("licences", F.coalesce(F.array_sort(F.array_distinct(F.concat("state.found", rest))), none))
+    out = out.withColumn("sentence_ids", F.filter("ids", lambda i: i != ""))
+    return shared.beside(out, docs.columns, ["sentence_ids", "licences"])
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,25 +141,27 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
 
 
-def _oracle() -> str:
-    entries = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
+def _oracle(knowledge: Knowledge = DEFAULT) -> str:
+    quoted = lambda rows: ", ".join(f"('{k}', '{v}')" for k, v in rows.items())
     steps, now = [], "s0"
-    for k, (_, ids) in enumerate(RULES):
-        phrase = "".join(f"<{i}>" for i in ids)
+    for k, (_, phrase) in enumerate(knowledge.sequences):
         steps.append(f"s{k + 1} AS (SELECT *, contains(l{k}, '{phrase}') AS r{k}, replace(l{k}, '{phrase}', '<-><->') AS l{k + 1} FROM {now})")
         now = f"s{k + 1}"
-    names = ", ".join(f"CASE WHEN r{k} THEN '{n}' END" for k, (n, _) in enumerate(RULES))
-    last = len(RULES)
+    names = ", ".join(f"CASE WHEN r{k} THEN '{n}' END" for k, (n, _) in enumerate(knowledge.sequences))
+    last = len(knowledge.sequences)
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 parts AS (SELECT r, unnest(regexp_split_to_array(regexp_replace(text, '[ \\t]*\\r?\\n[ \\t]*([a-z])', ' \\1', 'g'), '[.!?]+[ \\t]+|[\\r\\n]+')) AS part,
                  generate_subscripts(regexp_split_to_array(regexp_replace(text, '[ \\t]*\\r?\\n[ \\t]*([a-z])', ' \\1', 'g'), '[.!?]+[ \\t]+|[\\r\\n]+'), 1) AS i FROM docs),
 plain AS (SELECT r, i, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' ') AS part FROM parts),
-known AS (SELECT * FROM (VALUES {entries}) k(sentence, id)),
-named AS (SELECT r, i, k.id FROM plain p LEFT JOIN known k ON k.sentence = p.part WHERE p.part <> ''),
+known AS (SELECT * FROM (VALUES {quoted(knowledge.known)}) k(sentence, id)),
+names AS (SELECT * FROM (VALUES {quoted(knowledge.names)}) k(name, id)),
+single AS (SELECT * FROM (VALUES {quoted(knowledge.single)}) k(id, licence)),
+named AS (SELECT r, i, coalesce(k.id, n.id) AS id FROM plain p LEFT JOIN known k ON k.sentence = p.part LEFT JOIN names n ON n.name = regexp_extract(p.part, '{licences.REFERS}', 1) WHERE p.part <> '' AND coalesce(k.id, '') <> '{_NEUTRAL}'),
 s0 AS (SELECT r, count(id) AS n, coalesce(string_agg(id, ',' ORDER BY i), '') AS ids, '<' || string_agg(coalesce(id, '-'), '><' ORDER BY i) || '>' AS l0 FROM named GROUP BY r),
 {", ".join(steps)},
-found AS (SELECT r, n, ids, array_to_string(list_sort(list_distinct([{names}, CASE WHEN regexp_matches(l{last}, '[A-Za-z]') THEN 'UNKNOWN' END])), ',') AS licences FROM {now})
+rest AS (SELECT r, list(coalesce(licence, 'UNKNOWN')) AS other FROM (SELECT r, unnest(regexp_extract_all(l{last}, '<([A-Za-z0-9]+)>', 1)) AS id FROM {now}) LEFT JOIN single USING (id) GROUP BY r),
+found AS (SELECT r, n, ids, array_to_string(list_sort(list_distinct(list_concat([{names}], coalesce(other, [])))), ',') AS licences FROM {now} LEFT JOIN rest USING (r))
 SELECT d.doc_id, coalesce(f.n, 0) AS n_sentences, coalesce(f.ids, '') AS sentence_ids, coalesce(f.licences, '') AS licences FROM docs d LEFT JOIN found f ON f.r = d.r
 """
 
