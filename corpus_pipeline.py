@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontamination, line_dedup, mixing, near_dedup, quality, shared
-from graphloom.session import ship
+from graphloom.llm import decontamination, line_dedup, mixing, near_dedup, quality
+from graphloom.session import kept, ship
 
-
-#: Per cent of similarity; tests/llm/test_queries.py holds the stage against brute force at this level.
-NEAR = 85
+#: Per cent of similarity from which documents are near duplicates.
+NEAR = 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages wrote before it is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = shared.materialise(stage(spark, docs, sf_dir), f"stage{k + 1}")
+    with kept(spark) as keep:
+        for k, (_, stage) in enumerate(STAGES):
+            with kept(spark) as keep_stage:
+                docs = (keep if k + 1 == len(STAGES) else keep_stage)(stage(spark, docs, sf_dir), f"stage{k + 1}")
     return docs

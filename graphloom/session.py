@@ -69,15 +69,17 @@ def scope(spark: SparkSession) -> Iterator[None]:
 @contextmanager
 def kept(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A scope() whose function writes a table that outlives it."""
+    depth = len(_scopes)
     _scopes.append([])
     try:
 
         def keep(df: DataFrame, tag: str) -> DataFrame:
-            inner = _scopes.pop()
+            inner = _scopes[depth:]
+            del _scopes[depth:]
             try:
                 return materialise(df, tag)  # belongs to the scope around, if there is one
             finally:
-                _scopes.append(inner)
+                _scopes.extend(inner)
 
         yield keep
     finally:
