@@ -12,7 +12,7 @@ def words(text, pattern=SPACED):
     return pattern.findall((text or "").encode().lower())
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, per_cent=85):
     """doc_id -> (set size, component)."""
     sets, parent = [], list(range(len(rows)))
     for _, text in rows:
@@ -27,7 +27,7 @@ def near_duplicates(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if a and 100 * both >= 85 * (len(a) + len(sets[j]) - both):
+            if a and 100 * both >= per_cent * (len(a) + len(sets[j]) - both):
                 parent[root(i)] = root(j)
     least = {}
     for i, (doc, _) in enumerate(rows):

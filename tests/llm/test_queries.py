@@ -42,8 +42,8 @@ def test_pipeline(spark):
     two = shared.materialise(line_dedup.cleaned(one), "t2")
     rows = [(r["doc_id"], r["source"], r["text"]) for r in one.collect()]
     assert sorted((r["doc_id"], r["text"]) for r in two.collect()) == sorted(brute.boilerplate(rows, line_dedup.RATIO, line_dedup.MIN_PAGES))
-    three = shared.materialise(near_dedup.deduplicated(two), "t3")
-    want = {d for d, _, c in brute.near_duplicates([(r["doc_id"], r["text"]) for r in two.collect()]) if d == c}
+    three = shared.materialise(near_dedup.deduplicated(two, per_cent=corpus_pipeline.NEAR), "t3")
+    want = {d for d, _, c in brute.near_duplicates([(r["doc_id"], r["text"]) for r in two.collect()], corpus_pipeline.NEAR) if d == c}
     assert {r["doc_id"] for r in three.collect()} == want
     four = shared.materialise(decontamination.decontaminated(three, bench), "t4")
     found = brute.contamination([(r["doc_id"], r["text"]) for r in three.collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
