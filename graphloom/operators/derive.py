@@ -8,7 +8,7 @@ range is one maximum per reference.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_definition, is_ops_table, kind_of_number, language, ops_metadata
@@ -66,7 +66,8 @@ def symbol_infos(index: DataFrame, qualify_locals: bool = False) -> DataFrame:
     Kind: the index's number, else what the descriptors say; a global variable within a type is a field.
     External symbols are neither refined nor enclosed.
     """
-    rows = index.select("doc_ord", "part", "relative_path", F.posexplode("symbols").alias("sym_ord", "s")).select("doc_ord", "part", F.col("relative_path").alias("path"), "sym_ord", "s.*")
+    rows = index.select("doc_ord", "part", "relative_path", "first", F.posexplode("symbols").alias("sym_ord", "s"))
+    rows = rows.select("doc_ord", "part", F.col("relative_path").alias("path"), (F.coalesce("first", F.lit(0)) + F.col("sym_ord")).alias("sym_ord"), "s.*")
     rows = rows.withColumn("p", parse_symbol(F.col("symbol")))
     inner = F.col("part") == "document"
     kind = F.coalesce(kind_of_number(F.col("kind")), F.col("p.kind"), F.lit(DEFAULT_KIND))
@@ -121,8 +122,11 @@ def enclosing(points: DataFrame, ranges: DataFrame, doc: str = "doc_ord", line:
 
     points must have a unique ``point`` column; those in no range, or at an unknown line, keep null.
     other_than: a column of points whose own symbol does not enclose it.
+    Ranges are spread up to the last line that is asked for in their document, however far they claim to go.
     """
-    spread = ranges.select(F.col(doc).alias("__doc"), "start", "end", "col", "symbol", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.greatest("start", "end") / bucket))).alias("__bucket"))
+    last = points.where(F.col(line) >= 0).groupBy(F.col(doc).alias("__doc")).agg(F.max(line).alias("__last"))
+    asked = ranges.select(F.col(doc).alias("__doc"), "start", "end", "col", "symbol").join(last, "__doc").where("start <= __last and start <= end")
+    spread = asked.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.least("end", "__last") / bucket)))).drop("__last")
     at = points.where(F.col(line) >= 0).select("point", F.col(doc).alias("__doc"), F.col(line).alias("__line"), F.floor(F.col(line) / bucket).alias("__bucket"), *([F.col(other_than).alias("__self")] if other_than else []))
     held = at.join(spread, ["__doc", "__bucket"]).where("start <= __line and __line <= end")
     if other_than:
@@ -250,7 +254,7 @@ def build(index: DataFrame, resolve: str = "ordered", qualify_locals: bool = Fal
 
     raw = reference_edges(occs, infos).unionByName(relationship_edges(infos)).unionByName(contains_edges(occs, infos))
     raw = materialise(resolved(resolved(raw, "src", "src_id"), "dst", "dst_id").join(file_ids.where("path != ''"), "path", "left"), "edges")
-    recovered = recovered_contains(symbols).withColumns({"doc_ord": F.lit(1 << 62) + F.floor(F.col("src_id") / 4096), "step": F.lit(5), "ord": F.lit(0), "part": F.lit(0)})
+    recovered = recovered_contains(symbols).withColumns({"doc_ord": F.lit(1 << 62), "step": F.lit(5), "ord": F.lit(0), "part": F.lit(0)})
     columns = ["src_id", "dst_id", "type", "file_id", "line", "metadata", "doc_ord", "step", "ord", "part"]
     edges = dedupe_edges(raw.select(columns).unionByName(recovered.select(columns)), dedupe_null_file)
     edges = numbered(edges, ["doc_ord", "step", "ord", "part", "src_id", "dst_id", "type"], "edge_ord")
@@ -268,8 +272,3 @@ def recovered_contains(symbols: DataFrame) -> DataFrame:
 def latest(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """The last value of each key."""
     return df.groupBy(key).agg(F.max_by(value, order).alias(value))
-
-
-def window_keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """keep_first by a window, for rows too wide to be held as one aggregate."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bounded_int, evidence, is_definition, like, parse_metadata
 from ..schema import CALL_TYPES, EDGE_TYPES, NEIGHBOURHOOD_TYPES
-from ..session import shared_folder
+from ..session import materialise, shared_folder
 
 
 def _limited(df: DataFrame, limit: int) -> DataFrame:
@@ -60,16 +60,22 @@ class Graph:
     def _calls(self, near: str = "src_id", types: tuple[str, ...] = CALL_TYPES) -> DataFrame:
         return self._side(near).where(F.col("type").isin(*types)).select("src_id", "dst_id", F.col("type").alias("edge_type"), "line", "file_id")
 
+    def _step(self, edges: DataFrame, front: DataFrame | None, start: int, level: int) -> DataFrame:
+        """The edges from a front (near, n) of nodes, each of which n walks reach; stored, so that no level is computed twice."""
+        hop = edges.where(F.col("near") == start).withColumn("n", F.lit(1).cast("long")) if front is None else edges.join(front, "near")
+        return materialise(hop.select(F.lit(level).alias("depth"), F.col("far").alias("node"), "edge_type", "line", "file_id", "n"), "walk")
+
+    @staticmethod
+    def _front(step: DataFrame) -> DataFrame:
+        """Walks that end in the same node go on alike: one row a node, with their number (2^40 at most)."""
+        return step.groupBy(F.col("node").alias("near")).agg(F.least(F.sum("n"), F.lit(1 << 40)).alias("n"))
+
     def _walk(self, scip_symbol: str, depth: int, near: str, far: str) -> DataFrame:
-        """Each step of each walk of up to depth edges away from a symbol, with its end as ``node``."""
-        edges = self._calls(near).withColumnsRenamed({near: "near", far: "far"})
-        step, levels = None, []
+        """Each step of each walk of up to depth edges away from a symbol, with its end as ``node``; n: how many walks take it."""
+        edges, start = self._calls(near).withColumnsRenamed({near: "near", far: "far"}), self.id_of(scip_symbol)
+        levels: list[DataFrame] = []
         for level in range(1, max(depth, 1) + 1):
-            hop = edges.where(F.col("near") == self.id_of(scip_symbol)) if step is None else edges.join(step, "near")
-            step = hop.select(F.lit(level).alias("depth"), F.col("far").alias("node"), "edge_type", "line", "file_id")
-            levels.append(step)
-            # walks that end in the same node go on alike, but each of them counts
-            step = step.select(F.col("node").alias("near"))
+            levels.append(self._step(edges, self._front(levels[-1]) if levels else None, start, level))
         return reduce(DataFrame.union, levels)
 
     def _reach(self, scip_symbol: str, depth: int, near: str, far: str) -> DataFrame:
@@ -80,14 +86,21 @@ class Graph:
         for level in range(1, max(depth, 1) + 1):
             hop = edges.where(F.col("near") == start) if level == 1 else edges.join(front.select(F.col("node").alias("near")), "near")
             new = hop.select(F.col("far").alias("node")).distinct()
-            front = new.join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
+            front = materialise(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)), "front")
             seen = seen.union(front)
         return seen
 
+    @staticmethod
+    def _repeated(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
+        """Each row as often as walks take it, the first of them in the given order; rows beyond the limit are not repeated first."""
+        some = rows if limit < 0 else rows.orderBy(*order).limit(limit).withColumn("n", F.least("n", F.lit(limit)))
+        many = some.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+        return _limited(many.orderBy(*order), limit)
+
     def _named_walk(self, rows: DataFrame, limit: int) -> DataFrame:
         named = rows.join(self.symbols.select(F.col("id").alias("node"), "scip_symbol", "name", "kind"), "node").join(self._paths("file_id").withColumnRenamed("path", "file_path"), "file_id", "left")
-        out = named.select("depth", "edge_type", "line", "scip_symbol", "name", "kind", "file_path")
-        return _limited(out.orderBy(*_first("depth", "line", "edge_type", "scip_symbol", "file_path")), limit)
+        out = named.select("depth", "edge_type", "line", "scip_symbol", "name", "kind", "file_path", "n")
+        return self._repeated(out, limit, *_first("depth", "line", "edge_type", "scip_symbol", "file_path"))
 
     # Callers, callees, paths
 
@@ -108,17 +121,20 @@ class Graph:
 
     def call_path_arrivals(self, source: str, target: str, max_len: int = 10) -> DataFrame:
         """A row per arrival of a walk at the target, first the shortest, max_len rows at most; walks stop at the target."""
-        edges, levels = self._calls(), []
-        start, goal, step = self.id_of(source), self.id_of(target), None
+        edges = self._calls().withColumnsRenamed({"src_id": "near", "dst_id": "far"})
+        start, goal, front, levels, arrived = self.id_of(source), self.id_of(target), None, [], 0
         for level in range(1, max_len + 1):
-            hop = edges.where(F.col("src_id") == start) if step is None else edges.join(step, "src_id")
-            step = hop.select(F.lit(level).alias("depth"), F.col("dst_id").alias("node"), "edge_type", "line")
-            levels.append(step.where(F.col("node") == goal))
-            step = step.where(F.col("node") != goal).select(F.col("node").alias("src_id"))
+            step = self._step(edges, front, start, level)
+            here = step.where(F.col("node") == goal)
+            levels.append(here)
+            arrived += here.agg(F.sum("n")).first()[0] or 0
+            front = self._front(step.where(F.col("node") != goal))
+            if arrived >= max_len:  # the shortest come first
+                break
         rows = reduce(DataFrame.union, levels)
         to = self.symbols.select(F.col("id").alias("node"), "scip_symbol", "name", "kind", F.col("def_file_id").alias("file_id"))
-        named = rows.join(to, "node").join(self._paths("file_id").withColumnRenamed("path", "file_path"), "file_id", "left")
-        return _limited(named.orderBy(*_first("depth", "line", "edge_type")).select("scip_symbol", "name", "kind", "file_path", "line", "edge_type", "depth"), max_len)
+        named = rows.drop("file_id").join(to, "node").join(self._paths("file_id").withColumnRenamed("path", "file_path"), "file_id", "left")
+        return self._repeated(named.select("scip_symbol", "name", "kind", "file_path", "line", "edge_type", "depth", "n"), max_len, *_first("depth", "line", "edge_type"))
 
     def call_path(self, source: str, target: str, max_len: int = 10) -> DataFrame:
         """A shortest path, node by node: levels outwards that keep each node once with the edge it was reached by, then back."""
@@ -152,21 +168,24 @@ class Graph:
         named = F.broadcast(rows).join(self.symbols.select("id", "scip_symbol", "name", "kind", F.col("def_file_id").alias("file_id")), "id").join(self._paths("file_id").withColumnRenamed("path", "file_path"), "file_id", "left")
         return named.orderBy("depth").select("depth", "scip_symbol", "name", "kind", "file_path", "line", "edge_type")
 
-    def first_callers(self) -> DataFrame:
-        """(dst_id, by): of each symbol the calling edge of the smallest line."""
-        order = F.struct(F.coalesce("line", F.lit(-(1 << 31))), "edge_ord")
-        return self._side("dst_id").where(F.col("type").isin(*CALL_TYPES)).groupBy("dst_id").agg(F.min_by(F.struct("src_id", "file_id", "line"), order).alias("by"))
-
     def get_callchain(self, scip_symbol: str, max_depth: int = 20) -> DataFrame:
-        """Upwards from a symbol, each time to the caller of the smallest line; ends without one or at a node of the chain."""
-        first = self.first_callers()
-        row = self._id(scip_symbol).withColumns({"depth": F.lit(0), "seen": F.array("node"), "file_id": F.lit(None).cast("long"), "line": F.lit(None).cast("int")})
-        levels = [row]
-        for depth in range(1, max_depth + 1):
-            up = row.select(F.col("node").alias("dst_id"), "seen").join(first, "dst_id").where(~F.array_contains("seen", F.col("by.src_id")))
-            row = up.select(F.col("by.src_id").alias("node"), F.lit(depth).alias("depth"), F.concat("seen", F.array(F.col("by.src_id"))).alias("seen"), F.col("by.file_id").alias("file_id"), F.col("by.line").alias("line"))
-            levels.append(row)
-        rows = reduce(DataFrame.union, levels).drop("seen")
+        """Upwards from a symbol, each time to the caller of the smallest line; ends without one or at a node of the chain.
+
+        One literal look-up a level in the edges stored by destination, each of which skips all other row groups.
+        """
+        node, chain = self.id_of(scip_symbol), []
+        if node >= 0:
+            chain.append((0, node, None, None))
+        seen = {node}
+        for depth in range(1, max_depth + 1 if chain else 1):
+            calls = self._side("dst_id").where(F.col("type").isin(*CALL_TYPES) & (F.col("dst_id") == node))
+            up = calls.orderBy(*_first("line"), "edge_ord").select("src_id", "file_id", "line").first()
+            if up is None or up["src_id"] in seen:
+                break
+            node = up["src_id"]
+            seen.add(node)
+            chain.append((depth, node, up["file_id"], up["line"]))
+        rows = F.broadcast(self.spark.createDataFrame(chain, "depth int, node long, file_id long, line int"))  # max_depth + 1 rows at most
         named = rows.join(self.symbols.select(F.col("id").alias("node"), "scip_symbol", "name", "kind"), "node").join(self._paths("file_id").withColumnRenamed("path", "file_path"), "file_id", "left")
         return named.select("depth", "scip_symbol", "name", "kind", "file_path", "line").orderBy("depth")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bounded_int, check_prefix, group_label, group_path
 from ..schema import CALL_TYPES
+from ..session import materialise
 from .graph import Graph
 
 
@@ -62,7 +63,7 @@ def global_network(graph: Graph, prefix: str = "", edge_types: tuple[str, ...] =
     """
     prefix = check_prefix(prefix)
     max_nodes, max_edges = bounded_int(max_nodes, 100, 2, 160), bounded_int(max_edges, 320, 1, 420)
-    pairs = file_pairs(graph, edge_types, prefix)
+    pairs = materialise(file_pairs(graph, edge_types, prefix), "pairs")  # all counts below are sums of it
     rolled = pairs.groupBy(group_path(F.col("src_path"), prefix).alias("source"), group_path(F.col("dst_path"), prefix).alias("target"), "type").agg(F.sum("relationships").alias("relationships"), F.sum("weight").alias("weight"))
     inside = F.col("source") == F.col("target")
     edges = rolled if include_internal else rolled.where(~inside)

@@ -2,19 +2,23 @@
 
 A token is a run of letters and digits, lower-cased and without diacritics; ``_`` separates.  A query is
 words, which are phrases of their tokens, ``"quoted phrases"``, ``prefix*``, ``column:word``, joined by
-AND (or nothing), OR, NOT and parentheses.
+AND, OR, NOT and parentheses; phrases side by side are all meant, and hold together more closely than any operator.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 COLUMNS = ("name", "signature", "documentation")
 K1, B = 1.2, 0.75
 
@@ -42,6 +46,12 @@ class SearchIndex:
     documents: DataFrame
 
 
+def stored(at: SearchIndex) -> SearchIndex:
+    """The index as tables, postings sorted by token, so that looking up a word skips the rest."""
+    postings = materialise(at.postings, "postings")
+    return SearchIndex(materialise(postings.repartitionByRange("token").sortWithinPartitions("token"), "postings"), materialise(at.documents, "documents"))
+
+
 def index(rows: DataFrame, key: str = "id", columns: tuple[str, ...] = COLUMNS) -> SearchIndex:
     """One pass: a posting per token, and each row's number of tokens over all columns."""
     arrays = [tokens(F.col(c)) for c in columns]
@@ -51,7 +61,7 @@ def index(rows: DataFrame, key: str = "id", columns: tuple[str, ...] = COLUMNS)
     return SearchIndex(postings, rows.select(F.col(key).alias("doc"), size.alias("size")))
 
 
-@dataclass
+@dataclass(frozen=True)
 class Phrase:
     words: tuple[str, ...]
     prefix: bool = False
@@ -81,37 +91,32 @@ def parse(query: str, columns: tuple[str, ...] = COLUMNS) -> tuple | Phrase:
         place += 1
         return found[place - 1]
 
-    def either() -> tuple | Phrase:
-        out = all_of()
-        while peek() == ("word", "OR"):
+    def joined(kind: str, word: str, inner: Callable[[], tuple | Phrase]) -> tuple | Phrase:
+        out = inner()
+        while peek() == ("word", word):
             take()
-            out = ("or", out, all_of())
+            out = (kind, out, inner())
         return out
 
-    def all_of() -> tuple | Phrase:
-        out = but()
-        while peek()[0] in ("quoted", "word") and peek() != ("word", "OR") or peek() == ("sign", "("):
-            if peek() == ("word", "AND"):
-                take()
-            out = ("and", out, but())
-        return out
-
-    def but() -> tuple | Phrase:
-        out = single()
-        while peek() == ("word", "NOT"):
-            take()
-            out = ("not", out, single())
-        return out
+    def either() -> tuple | Phrase:
+        return joined("or", "OR", lambda: joined("and", "AND", lambda: joined("not", "NOT", side_by_side)))
 
-    def single(column: str | None = None) -> tuple | Phrase:
-        kind, text = peek()
-        if (kind, text) == ("sign", "("):
+    def side_by_side() -> tuple | Phrase:
+        """A bracket, which stands alone, or phrases."""
+        if peek() == ("sign", "("):
             take()
             out = either()
             if peek() != ("sign", ")"):
                 raise ValueError(f"no query: {query!r} has an open bracket")
             take()
             return out
+        out = single()
+        while peek()[0] == "quoted" or peek()[0] == "word" and peek()[1] not in ("AND", "OR", "NOT"):
+            out = ("and", out, single())
+        return out
+
+    def single(column: str | None = None) -> Phrase:
+        kind, text = peek()
         if kind not in ("quoted", "word") or kind == "word" and text in ("AND", "OR", "NOT"):
             raise ValueError(f"no query: {query!r}")
         take()
@@ -134,8 +139,10 @@ def parse(query: str, columns: tuple[str, ...] = COLUMNS) -> tuple | Phrase:
     return out
 
 
-def _phrases(tree: tuple | Phrase) -> list[Phrase]:
-    return [tree] if isinstance(tree, Phrase) else _phrases(tree[1]) + (_phrases(tree[2]) if tree[0] != "not" else [])
+def _phrases(tree: tuple | Phrase, ranked_only: bool = False) -> list[Phrase]:
+    if isinstance(tree, Phrase):
+        return [tree]
+    return _phrases(tree[1], ranked_only) + ([] if tree[0] == "not" and ranked_only else _phrases(tree[2], ranked_only))
 
 
 def _hits(at: SearchIndex, phrase: Phrase) -> DataFrame:
@@ -152,31 +159,34 @@ def _hits(at: SearchIndex, phrase: Phrase) -> DataFrame:
     return out.groupBy("doc").agg(F.count(F.lit(1)).alias("f"))
 
 
-def matches(at: SearchIndex, tree: tuple | Phrase) -> DataFrame:
-    """(doc) of the rows that a parsed query matches."""
+def _holds(tree: tuple | Phrase, f: dict[Phrase, Column]) -> Column:
+    """Whether a row of phrase counts matches."""
     if isinstance(tree, Phrase):
-        return _hits(at, tree).select("doc")
-    kind, left, right = tree
-    a, b = matches(at, left), matches(at, right)
-    if kind == "or":
-        return a.union(b).distinct()
-    return a.join(b, "doc", "left_semi" if kind == "and" else "left_anti")
+        return f[tree] > 0
+    kind, a, b = tree[0], _holds(tree[1], f), _holds(tree[2], f)
+    return a | b if kind == "or" else a & (b if kind == "and" else ~b)
 
 
 def ranked(at: SearchIndex, query: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """(doc, score) of the rows that match; the lowest score, the most negative one, fits best."""
+    """(doc, score) of the rows that match; the lowest score, the most negative one, fits best.
+
+    Each phrase is looked up once.  The counts of all phrases meet in one row a document; whether it matches and
+    how it ranks are expressions over that row.
+    """
     tree = parse(query, columns)
-    stats = at.documents.agg(F.count(F.lit(1)).alias("total"), F.avg("size").alias("mean"))
-    out = matches(at, tree).join(at.documents, "doc").crossJoin(F.broadcast(stats)).withColumn("score", F.lit(0.0))  # one row of sums
-    for phrase in dict.fromkeys((p.words, p.prefix, p.column) for p in _phrases(tree)):
-        hits = _hits(at, Phrase(*phrase))
-        having = hits.agg(F.count(F.lit(1)).alias("n"))
-        idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        f = F.coalesce("f", F.lit(0))
-        part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-        out = out.join(hits, "doc", "left").crossJoin(F.broadcast(having)).withColumn("score", F.col("score") - part).drop("f", "n")  # one row
-    return out.select("doc", "score")
+    phrases = list(dict.fromkeys(_phrases(tree)))
+    hits = reduce(DataFrame.union, (_hits(at, p).withColumn("p", F.lit(i)) for i, p in enumerate(phrases)))
+    rows = materialise(hits.groupBy("doc").agg(*(F.coalesce(F.max(F.when(F.col("p") == i, F.col("f"))), F.lit(0)).alias(f"f{i}") for i in range(len(phrases)))), "hits")
+    n = rows.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases)))).first()  # one row
+    total, mean = at.documents.agg(F.count(F.lit(1)), F.avg("size")).first()
+    out = rows.where(_holds(tree, {p: F.col(f"f{i}") for i, p in enumerate(phrases)})).join(at.documents, "doc")
+    score = F.lit(0.0)
+    for p in dict.fromkeys(_phrases(tree, ranked_only=True)):
+        i = phrases.index(p)
+        idf = math.log((total - n[f"n{i}"] + 0.5) / (n[f"n{i}"] + 0.5))
+        f = F.col(f"f{i}")
+        score = score - F.lit(idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
+    return out.select("doc", score.alias("score"))
 
 
 def search_symbols(symbols: DataFrame, files: DataFrame, query: str, kind: str | None = None, limit: int = 50, at: SearchIndex | None = None) -> DataFrame:

@@ -152,8 +152,7 @@ SELECT b.doc, round(-(CASE WHEN i1 <= 0 THEN 1e-6 ELSE i1 END * f1 * 2.2 / (f1 +
 
 @_query(_SCORE, with_graph=False)
 def l1_search(spark: SparkSession, d: str) -> DataFrame:
-    columns = ("text", "lang", "source")
-    found = search.ranked(search.index(Tables(spark, d).documents, "doc_id", columns), '"of the" AND (thi*) NOT source:src3', columns)
+    found = search.ranked(projection.text_index(spark, d), '"of the" AND (thi* NOT source:src3)', projection.TEXTS)
     return found.select("doc", F.round("score", 6).alias("score"))
 
 

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 
-def numbered(df: DataFrame, order: list[str], out: str, bucket: Column | None = None) -> DataFrame:
-    """df with ``out``: 1, 2, ... in the given order.
+_ROWS = (1 << 33) - 1  # of a partition, in the numbers that Spark gives rows
 
-    bucket: a column that never falls as the order rises; by default the first column of the order, whose
-    repeats then share a task.  Rows are numbered within buckets, and the buckets' sizes summed
-    before them: only one row per bucket is ever in one place.
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df with ``out``: 1, 2, ... in the given order, nulls first.
+
+    Rows go to ranges of the order, are sorted within them and counted where they lie; only one row a range,
+    its size, is summed in one place, whatever the order's columns hold.  Both tables are stored: the first so that sampling
+    the ranges does not derive the rows twice, the second so that numbers stay what they are.
     """
-    keyed = df.withColumn("__bucket", F.col(order[0]) if bucket is None else bucket)
-    sizes = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy(F.col("__bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(*(F.col(c).asc_nulls_first() for c in order)))
-    rows = keyed.withColumn("__within", within).join(sizes, F.col("__bucket").eqNullSafe(F.col("__b")))
-    return rows.withColumn(out, F.col("__before") + F.col("__within")).drop("__bucket", "__b", "__before", "__within")
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    ranged = materialise(df, "unnumbered").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = materialise(ranged.withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("__part", F.shiftright("__m", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rows = placed.join(F.broadcast(sizes), "__part")  # a row a range
+    return rows.withColumn(out, F.col("__before") + F.col("__m").bitwiseAND(_ROWS) + 1).drop("__m", "__part", "__before")

@@ -11,8 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import search
 from ..operators.graph import Graph
-from ..session import shared_folder
+from ..operators.search import SearchIndex
+from ..session import materialise, scope, shared_folder
 from .ordinals import numbered
 from .store import Store
 
@@ -49,13 +51,13 @@ def files(t: Tables) -> DataFrame:
     return numbered(paths.distinct(), ["path"], "id").select("id", "path")
 
 
-def symbols(t: Tables) -> DataFrame:
+def symbols(t: Tables, files: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     c = _placed(t.customer, "c_nationkey", t).select((F.col("c_custkey") + _FUNCTION).alias("id"), F.concat(F.lit("cxx . . $ "), "c_name", F.lit("().")).alias("scip_symbol"), F.col("c_name").alias("name"), F.lit("function").alias("kind"), _customer_path().alias("path"), F.col("c_custkey").cast("int").alias("l0"), F.lit(False).alias("is_external"), none.alias("enclosing_symbol"))
     s = _placed(t.supplier, "s_nationkey", t).select((F.col("s_suppkey") + _STRUCT).alias("id"), F.concat(F.lit("cxx . . $ "), "s_name", F.lit("_ops#")).alias("scip_symbol"), F.concat("s_name", F.lit("_ops")).alias("name"), F.lit("struct").alias("kind"), F.concat("folder", F.lit("/supp.c")).alias("path"), F.col("s_suppkey").cast("int").alias("l0"), F.lit(False).alias("is_external"), none.alias("enclosing_symbol"))
     owner = F.concat(F.lit("cxx . . $ Supplier#"), F.lpad((F.col("p_partkey") % 10).cast("string"), 9, "0"), F.lit("_ops#"))
     p = t.part.select((F.col("p_partkey") + _FIELD).alias("id"), F.concat(F.lit("cxx . . $ part_"), F.col("p_partkey").cast("string"), F.lit(".")).alias("scip_symbol"), F.col("p_name").alias("name"), F.lit("field").alias("kind"), _header().alias("path"), F.col("p_partkey").cast("int").alias("l0"), (F.col("p_size") > 45).alias("is_external"), owner.alias("enclosing_symbol"))
-    rows = c.union(s).union(p).join(files(t).withColumnRenamed("id", "def_file_id"), "path")
+    rows = c.union(s).union(p).join(files.select(F.col("id").alias("def_file_id"), "path"), "path")
     return rows.select("id", "scip_symbol", "name", "kind", none.alias("signature"), none.alias("documentation"), "def_file_id", F.col("l0").alias("def_start_line"), (F.col("l0") + 9).alias("def_end_line"), "is_external", "enclosing_symbol")
 
 
@@ -67,7 +69,7 @@ def following_orders(orders: DataFrame) -> DataFrame:
     return orders.withColumn("nxt", F.lead("o_custkey").over(day)).join(first, "o_orderdate").withColumn("nxt", F.coalesce("nxt", "later")).drop("later")
 
 
-def edges(t: Tables) -> DataFrame:
+def edges(t: Tables, symbols: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     fn, st, fd = (lambda c: F.col(c) + _FUNCTION), (lambda c: F.col(c) + _STRUCT), (lambda c: F.col(c) + _FIELD)
     by = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
@@ -81,15 +83,15 @@ def edges(t: Tables) -> DataFrame:
     rows = calls.distinct()
     for part in (bind, contains, references, types):
         rows = rows.union(part.distinct())
-    rows = rows.join(symbols(t).select(F.col("id").alias("src_id"), F.col("def_file_id").alias("file_id")), "src_id")
+    rows = rows.join(symbols.select(F.col("id").alias("src_id"), F.col("def_file_id").alias("file_id")), "src_id")
     rows = numbered(rows, ["src_id", "dst_id", "type", "line"], "edge_ord")
     return rows.select("edge_ord", "src_id", "dst_id", "type", "file_id", "line", F.lit(1).alias("weight"), F.lit(1.0).alias("confidence"), "metadata")
 
 
-def occurrences(t: Tables) -> DataFrame:
-    known = symbols(t).select("id")
+def occurrences(t: Tables, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    known = symbols.select("id")
     rows = t.events.select("event_id", (F.col("user_id") + _FUNCTION).alias("symbol_id"), (F.col("event_id") % 100 + 1).alias("file_id"), (F.col("event_id") % 5000).cast("int").alias("start_line"), (F.col("event_id") % 80).cast("int").alias("start_col"), F.when(F.col("event_type") == "signup", 1).otherwise(8).alias("role"), (F.col("event_id") % 7 + _STRUCT).alias("by"))
-    rows = rows.join(known.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_semi").join(files(t).select(F.col("id").alias("file_id")), "file_id", "left_semi").join(known.withColumnRenamed("id", "enclosing_symbol_id"), F.col("by") == F.col("enclosing_symbol_id"), "left")
+    rows = rows.join(known.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_semi").join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi").join(known.withColumnRenamed("id", "enclosing_symbol_id"), F.col("by") == F.col("enclosing_symbol_id"), "left")
     return rows.select(F.col("event_id").alias("id"), "symbol_id", "file_id", "start_line", "start_col", F.col("start_line").alias("end_line"), (F.col("start_col") + 5).alias("end_col"), "role", "enclosing_symbol_id")
 
 
@@ -98,28 +100,34 @@ def meta(t: Tables) -> DataFrame:
 
 
 _stores: dict[tuple[str, str], Graph] = {}
+_indexes: dict[tuple[str, str], SearchIndex] = {}
+TEXTS = ("text", "lang", "source")
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of a folder of tables, ingested once per application into a store; queries read the store."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
-        t = Tables(spark, sf_dir)
         store = Store(spark, f"{shared_folder(spark)}/graphloom/graph-{uuid.uuid4().hex}")
-        store.write(build(t), with_search=False)
+        with scope(spark):
+            store.write(build(Tables(spark, sf_dir)), with_search=False, ready=("files", "symbols"))
         _stores[key] = store.graph()
     return _stores[key]
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The search index of a folder's documents, stored once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = search.stored(search.index(Tables(spark, sf_dir).documents, "doc_id", TEXTS))
+    return _indexes[key]
+
+
 def build(t: Tables) -> dict[str, DataFrame]:
     none = F.lit(None).cast("string")
-    return {
-        "files": files(t).select("id", "path", none.alias("language"), none.alias("subsystem"), none.alias("sha")),
-        "symbols": symbols(t).withColumn("subsystem", none),
-        "edges": edges(t),
-        "occurrences": occurrences(t),
-        "meta": meta(t),
-    }
+    of_files = materialise(files(t).select("id", "path", none.alias("language"), none.alias("subsystem"), none.alias("sha")), "files")
+    of_symbols = materialise(symbols(t, of_files).withColumn("subsystem", none), "symbols")
+    return {"files": of_files, "symbols": of_symbols, "edges": edges(t, of_symbols), "occurrences": occurrences(t, of_symbols, of_files), "meta": meta(t)}
 
 
 SQL = """

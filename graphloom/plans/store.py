@@ -18,6 +18,7 @@ from ..operators import derive, search
 from ..operators.graph import Graph
 from ..operators.search import SearchIndex
 from ..schema import TABLES
+from ..session import scope
 
 #: What rows of a table are sorted by within its files.
 SORTED = {"files": "path", "symbols": "name", "occurrences": "symbol_id", "edges": "src_id", "edges_by_dst": "dst_id", "meta": "key", "postings": "token", "documents": "doc"}
@@ -53,8 +54,8 @@ class Store:
         options[0] = option.OVERWRITE
         context.rename(self._fs.makeQualified(part), self._fs.makeQualified(self._path("CURRENT")), options)
 
-    def write(self, tables: dict[str, DataFrame], with_search: bool = True, point: bool = True) -> str:
-        """Write a snapshot and, if asked, make it the current one; its name."""
+    def write(self, tables: dict[str, DataFrame], with_search: bool = True, point: bool = True, ready: tuple[str, ...] = ()) -> str:
+        """Write a snapshot and, if asked, make it the current one; its name.  ready: tables that are stored already and cost nothing to read twice."""
         snapshot = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
         def put(name: str, df: DataFrame) -> None:
@@ -64,12 +65,14 @@ class Store:
         for name, schema in TABLES.items():
             # first as it comes, so that sampling the ranges does not derive it twice
             df = tables[name].select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
-            df.write.parquet(f"{self.root}/{snapshot}/.{name}")
-            df = self.spark.read.schema(schema).parquet(f"{self.root}/{snapshot}/.{name}")
+            if name not in ready:
+                df.write.parquet(f"{self.root}/{snapshot}/.{name}")
+                df = self.spark.read.schema(schema).parquet(f"{self.root}/{snapshot}/.{name}")
             put(name, df)
             if name == "edges":
                 put("edges_by_dst", df)
-            self._fs.delete(self._path(snapshot, f".{name}"), True)
+            if name not in ready:
+                self._fs.delete(self._path(snapshot, f".{name}"), True)
         if with_search:
             found = search.index(self.spark.read.schema(TABLES["symbols"]).parquet(f"{self.root}/{snapshot}/symbols"))
             put("postings", found.postings)
@@ -116,5 +119,6 @@ def ingest(spark: SparkSession, path: str, root: str, resolve: str = "ordered",
     from ..sources.scip import read_scip
 
     store = Store(spark, root)
-    store.write(with_stats(derive.build(read_scip(spark, path), resolve), now))
+    with scope(spark):
+        store.write(with_stats(derive.build(read_scip(spark, path), resolve), now), ready=("files", "symbols"))
     return store

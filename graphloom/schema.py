@@ -27,8 +27,8 @@ OCCURRENCE = _table(
     enclosing_range=_RANGE,
 )
 METADATA = _table(project_root=_S, tool_name=_S, tool_version=_S, tool_arguments=T.ArrayType(_S))
-#: A row per document, after one of metadata (doc_ord 0) and before one of external symbols.
-INDEX = _table(doc_ord=_L, part=_S, relative_path=_S, language=_S, symbols=T.ArrayType(SYMBOL_INFO), occurrences=T.ArrayType(OCCURRENCE), metadata=METADATA)
+#: A row per document, after one of metadata (doc_ord 0) and before those of external symbols; first: the place of the row's first symbol in its document.
+INDEX = _table(doc_ord=_L, part=_S, relative_path=_S, language=_S, symbols=T.ArrayType(SYMBOL_INFO), occurrences=T.ArrayType(OCCURRENCE), metadata=METADATA, first=_L)
 
 FILES = _table(id=_L, path=_S, language=_S, subsystem=_S, sha=_S)
 SYMBOLS = _table(id=_L, scip_symbol=_S, name=_S, kind=_S, signature=_S, documentation=_S, def_file_id=_L, def_start_line=_I, def_end_line=_I, is_external=_B, subsystem=_S, enclosing_symbol=_S)

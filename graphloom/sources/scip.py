@@ -2,7 +2,8 @@
 
 The driver walks over the top-level tags only, reading lengths and skipping bodies, and cuts the file
 into byte ranges of whole messages; tasks seek to their range and decode it.  Rows are documents in
-the order of the file, between the metadata (doc_ord 0) and the external symbols (the last one).
+the order of the file, between the metadata (doc_ord 0) and the external symbols (the last one, in rows of some thousands; ``first`` is
+the place of a row's first symbol).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from ..schema import INDEX
 from . import wire
 
 RANGE_BYTES = 32 << 20
+EXTERNAL_ROWS = 4096  # external symbols a row
 
 
 def _relationship(data: memoryview) -> tuple:
@@ -136,11 +138,11 @@ def messages(stream: io.RawIOBase, size: int) -> Iterator[tuple[int, int, int]]:
 
 
 class Chunk(InputPartition):
-    """Some messages of one kind: (doc_ord, offset, length) of each."""
+    """Some messages of one kind: (doc_ord, offset, length) of each; first: how many of the kind come before."""
 
-    def __init__(self, part: str, where: list[tuple[int, int, int]]):
-        super().__init__(f"{part}:{where[0][0] if where else 0}")
-        self.part, self.where = part, where
+    def __init__(self, part: str, where: list[tuple[int, int, int]], first: int = 0):
+        super().__init__(f"{part}:{where[0][0] if where else 0}:{first}")
+        self.part, self.where, self.first = part, where, first
 
 
 class ScipReader(DataSourceReader):
@@ -174,7 +176,17 @@ class ScipReader(DataSourceReader):
                     external.append((0, at, length))
         if now:
             out.append(Chunk("document", now))
-        return [Chunk("metadata", metadata), *out, Chunk("external", [(order + 1, a, n) for _, a, n in external])]
+        # external symbols are one document behind the others, in ranges too
+        parts, now, held = [], [], 0
+        for _, at, length in external:
+            now.append((order + 1, at, length))
+            held += length
+            if held >= self.range_bytes:
+                parts.append(Chunk("external", now, parts[-1].first + len(parts[-1].where) if parts else 0))
+                now, held = [], 0
+        if now:
+            parts.append(Chunk("external", now, parts[-1].first + len(parts[-1].where) if parts else 0))
+        return [Chunk("metadata", metadata), *out, *parts]
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
         if not partition.where:
@@ -187,13 +199,15 @@ class ScipReader(DataSourceReader):
                 return f.read(length)
 
             if partition.part == "external":
-                yield (partition.where[0][0], "external", "", "", [_symbol(memoryview(body(a, n))) for _, a, n in partition.where], [], None)
+                for k in range(0, len(partition.where), EXTERNAL_ROWS):
+                    some = partition.where[k : k + EXTERNAL_ROWS]
+                    yield (some[0][0], "external", "", "", [_symbol(memoryview(body(a, n))) for _, a, n in some], [], None, partition.first + k)
                 return
             for order, at, length in partition.where:
                 if partition.part == "metadata":
-                    yield (order, "metadata", "", "", [], [], _metadata(body(at, length)))
+                    yield (order, "metadata", "", "", [], [], _metadata(body(at, length)), 0)
                 else:
-                    yield (order, "document", *document(body(at, length)), None)
+                    yield (order, "document", *document(body(at, length)), None, 0)
 
 
 class Scip(DataSource):

@@ -27,7 +27,7 @@ def test_tools(tools):
 
 
 def test_requests(tools):
-    ask = lambda path, **q: api.handle(tools, path, q)
+    ask = lambda at, **q: api.handle(tools, at, q)
     assert ask("/api/status")[0] == 200
     status, body = ask("/api/global-network", prefix="fs")
     assert status == 200

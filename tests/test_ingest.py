@@ -31,8 +31,11 @@ def graph(store):
 
 def test_source_ranges(spark, folder, store):
     whole = [r.asDict(True) for r in read_scip(spark, str(folder / "index.scip")).orderBy("doc_ord").collect()]
-    cut = [r.asDict(True) for r in read_scip(spark, str(folder / "index.scip"), rangeBytes=1).orderBy("doc_ord").collect()]
-    assert whole == cut
+    cut = [r.asDict(True) for r in read_scip(spark, str(folder / "index.scip"), rangeBytes=1).orderBy("doc_ord", "first").collect()]
+    assert whole[:4] == cut[:4]
+    # external symbols come in rows of ranges
+    assert [r["first"] for r in cut[4:]] == [0, 1]
+    assert whole[4]["symbols"] == [s for r in cut[4:] for s in r["symbols"]]
     assert [(r["doc_ord"], r["part"]) for r in whole] == [(0, "metadata"), (1, "document"), (2, "document"), (3, "document"), (4, "external")]
 
 

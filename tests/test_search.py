@@ -20,7 +20,7 @@ def at(spark, rows):
     return search.index(spark.createDataFrame(rows, "id long, name string, signature string, documentation string"))
 
 
-@pytest.mark.parametrize("query", ["ext4_file", "read", "read iter", '"vfs write" OR open', "ext4 NOT file", "wri*", "name:ext4 cafe", "(read OR open) enorme"])
+@pytest.mark.parametrize("query", ["ext4_file", "read", "read iter", '"vfs write" OR open', "ext4 NOT file", "wri*", "name:ext4 cafe", "(read OR open) AND enorme", "read NOT open vfs", "read AND (vfs OR open)"])
 def test_ranks_as_sqlite_does(at, rows, query):
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE f USING fts5(name, signature, documentation)")
@@ -31,7 +31,7 @@ def test_ranks_as_sqlite_does(at, rows, query):
     assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
 
-@pytest.mark.parametrize("query", ["foo-bar", "foo(", "", "->read_iter", "a.b", "AND", "nocolumn:x"])
+@pytest.mark.parametrize("query", ["foo-bar", "foo(", "", "->read_iter", "a.b", "AND", "nocolumn:x", "(read OR open) enorme", "enorme (read OR open)"])
 def test_broken_queries(query):
     with pytest.raises(ValueError):
         search.parse(query)
