@@ -13,6 +13,7 @@ from ..operators import derive, metrics, rollup, search
 from ..operators.graph import Graph
 from ..streaming import incremental
 from . import projection
+from . import scip_projection as sx
 from .projection import Tables, graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,14 +28,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["g1_find_callers"](spark, sf_dir)
 
 
-def _query(sql: str | None = None, with_graph: bool = True) -> Callable:
-    """Register a function of (spark, sf_dir) under its name; sql goes behind the graph's tables if with_graph."""
+def _query(sql: str | None = None, with_graph: bool = True, with_index: bool = False) -> Callable:
+    """Register a function of (spark, sf_dir) under its name; sql goes behind the graph's tables if with_graph, or the index's if with_index."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
         if sql is not None:
             sql_ = sql.strip()
-            ORACLE_SQL[f.__name__] = (projection.SQL + (", " + sql_[5:] if sql_.startswith("WITH ") else sql_)) if with_graph else sql_
+            before = sx.SQL if with_index else projection.SQL
+            ORACLE_SQL[f.__name__] = (before + (", " + sql_[5:] if sql_.startswith("WITH ") else sql_)) if with_graph else sql_
         return f
 
     return add
@@ -111,11 +113,27 @@ def g4_get_callchain(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"SELECT edge_ord, src_id, dst_id, type, line FROM g_edges WHERE src_id = {_id(CUSTOMER)} OR dst_id = {_id(CUSTOMER)}")
 def g5_neighborhood(spark: SparkSession, d: str) -> DataFrame:
-    found = graph(spark, d).get_neighborhood(CUSTOMER, 1, None, 500, 1000)
+    return _around(spark, graph(spark, d).get_neighborhood(CUSTOMER, 1, None, 500, 1000))
+
+
+@_query(f"SELECT edge_ord, src_id, dst_id, type, line FROM g_edges WHERE (src_id = {_id(CUSTOMER)} OR dst_id = {_id(CUSTOMER)}) ORDER BY CASE type WHEN 'calls' THEN 0 WHEN 'ops_bind' THEN 1 ELSE 2 END, edge_ord LIMIT 15")
+def g5_neighborhood_capped(spark: SparkSession, d: str) -> DataFrame:
+    return _around(spark, graph(spark, d).get_neighborhood(CUSTOMER, 1, None, 500, 15))
+
+
+def _around(spark: SparkSession, found: dict) -> DataFrame:
     rows = [(e["edge_ord"], e["src_id"], e["dst_id"], e["type"], e["line"]) for e in found["edges"]]
     return spark.createDataFrame(rows, "edge_ord long, src_id long, dst_id long, type string, line int")
 
 
+_NEAR = "near{0} AS (SELECT DISTINCT unnest([src_id, dst_id]) AS id FROM g_edges WHERE type = 'type_of' AND (src_id IN (SELECT id FROM near{1}) OR dst_id IN (SELECT id FROM near{1})) UNION SELECT id FROM near{1})"
+
+
+@_query(f"WITH near0 AS (SELECT {_id(PART)} AS id), {_NEAR.format(1, 0)} SELECT edge_ord, src_id, dst_id, type, line FROM g_edges WHERE type = 'type_of' AND (src_id IN (SELECT id FROM near1) OR dst_id IN (SELECT id FROM near1)) ORDER BY edge_ord LIMIT 1000")
+def g5_neighborhood_depth2(spark: SparkSession, d: str) -> DataFrame:
+    return _around(spark, graph(spark, d).get_neighborhood(PART, 2, ("type_of",), 500, 1000))
+
+
 @_query(f"SELECT t.scip_symbol AS type_symbol, t.name AS type_name, t.kind AS type_kind, t.signature, f.path AS def_file_path, t.def_start_line, t.def_end_line FROM g_edges e JOIN g_symbols t ON t.id = e.dst_id LEFT JOIN g_files f ON f.id = t.def_file_id WHERE e.type = 'type_of' AND e.src_id = {_id(PART)}")
 def g6_find_type_definition(spark: SparkSession, d: str) -> DataFrame:
     return graph(spark, d).find_type_definition(PART)
@@ -191,10 +209,11 @@ def l11_rank_candidates(spark: SparkSession, d: str) -> DataFrame:
     return graph(spark, d).rank_candidates("red ring", 12)
 
 
-@_query("SELECT e.* FROM g_edges e WHERE src_id IN (SELECT id FROM g_symbols WHERE kind = 'function' AND def_start_line < 200) AND dst_id IN (SELECT id FROM g_symbols WHERE kind = 'function' AND def_start_line < 200)")
+@_query("SELECT e.* FROM g_edges e WHERE src_id IN (SELECT id FROM g_symbols WHERE def_file_id IN (SELECT id FROM g_files WHERE starts_with(path, 'asia/'))) AND dst_id IN (SELECT id FROM g_symbols WHERE def_file_id IN (SELECT id FROM g_files WHERE starts_with(path, 'asia/')))")
 def l12_edges_between(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    return g.edges_between(g.symbols.where("kind = 'function' and def_start_line < 200"))
+    asia = g.files.where("startswith(path, 'asia/')").select(F.col("id").alias("def_file_id"))
+    return g.edges_between(g.symbols.join(asia, "def_file_id", "left_semi"))
 
 
 # Aggregations
@@ -364,10 +383,132 @@ def i11_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return derive.keep_first(Tables(spark, d).events.select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"])
 
 
-@_query("SELECT o.o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_custkey <= o.o_orderkey)", with_graph=False)
+# The index of the driver's tables, through the whole of ingest
+
+
+@_query("SELECT doc_ord, 'document' AS part, path, CASE (doc_ord - 1) % 3 WHEN 0 THEN 'CPP' WHEN 1 THEN 'C' ELSE 'Rust' END AS language, (SELECT count(*) FROM x_infos i WHERE i.doc_ord = d.doc_ord) AS n_symbols, (SELECT count(*) FROM x_occs o WHERE o.doc_ord = d.doc_ord) AS n_occurrences FROM x_docs d UNION ALL SELECT 0, 'metadata', '', '', 0, 0 UNION ALL SELECT (SELECT max(doc_ord) + 1 FROM x_docs), 'external', '', '', 5, 0", with_index=True)
+def s1_scip_scan(spark: SparkSession, d: str) -> DataFrame:
+    return sx.index(spark, d).select("doc_ord", "part", F.col("relative_path").alias("path"), "language", F.size("symbols").cast("long").alias("n_symbols"), F.size("occurrences").cast("long").alias("n_occurrences"))
+
+
+@_query("SELECT unnest(['project_root', 'tool_name', 'tool_version', 'tool_arguments']) AS key, unnest(['/kernel', 'tables', '1', '-a b']) AS value", with_index=True)
+def i1_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return derive.metadata_rows(sx.index(spark, d))
+
+
+_INFOS = "SELECT doc_ord, sym_ord, symbol AS scip_symbol, name, kind, signature, documentation, enclosing AS enclosing_symbol FROM x_infos"
+
+
+def _infos(spark: SparkSession, d: str) -> DataFrame:
+    return sx.derived(spark, d)[0].select("doc_ord", "sym_ord", "scip_symbol", "name", "kind", "signature", "documentation", "enclosing_symbol", "is_external")
+
+
+@_query(f"{_INFOS} WHERE NOT ext", with_index=True)
+def i2_symbol_project(spark: SparkSession, d: str) -> DataFrame:
+    return _infos(spark, d).where("not is_external").drop("is_external")
+
+
+@_query(f"{_INFOS} WHERE ext", with_index=True)
+def i3_external_project(spark: SparkSession, d: str) -> DataFrame:
+    return _infos(spark, d).where("is_external").drop("is_external")
+
+
+@_query("SELECT doc_ord, occ_ord, symbol, role, sl::INT AS sl, 4 AS sc, sl::INT AS el, 20 AS ec FROM x_occs", with_index=True)
+def i4_range_extract(spark: SparkSession, d: str) -> DataFrame:
+    return sx.derived(spark, d)[1].select("doc_ord", "occ_ord", "symbol", "role", "sl", "sc", "el", "ec")
+
+
+@_query("SELECT doc_ord, occ_ord, body_start::INT AS body_start, body_end::INT AS body_end FROM x_occs", with_index=True)
+def i5_enclosing_range(spark: SparkSession, d: str) -> DataFrame:
+    return sx.derived(spark, d)[1].select("doc_ord", "occ_ord", "body_start", "body_end")
+
+
+def _references(spark: SparkSession, d: str, part: int) -> DataFrame:
+    infos, occurrences = sx.derived(spark, d)
+    rows = derive.reference_edges(occurrences, infos).where(F.col("part") == part)
+    return rows.select("doc_ord", F.col("ord").alias("occ_ord"), "src", "dst", "type", "line", "metadata")
+
+
+_STEP1 = "SELECT doc_ord, occ_ord, src, dst, type, line::INT AS line, metadata FROM x_step1 WHERE part = "
+
+
+@_query(_STEP1 + "0", with_index=True)
+def i8_edge_derive(spark: SparkSession, d: str) -> DataFrame:
+    return _references(spark, d, 0)
+
+
+@_query(_STEP1 + "1", with_index=True)
+def i9_ops_bind_derive(spark: SparkSession, d: str) -> DataFrame:
+    return _references(spark, d, 1)
+
+
+@_query("SELECT doc_ord, 3 AS step, src, dst, line::INT AS line FROM x_step3 UNION ALL SELECT doc_ord, 4, src, dst, line::INT FROM x_step4", with_index=True)
+def i10_contains_derive(spark: SparkSession, d: str) -> DataFrame:
+    infos, occurrences = sx.derived(spark, d)
+    return derive.contains_edges(occurrences, infos).select("doc_ord", "step", "src", "dst", "line")
+
+
+@_query("SELECT * FROM x_step2", with_index=True)
+def i10b_relationships(spark: SparkSession, d: str) -> DataFrame:
+    return derive.relationship_edges(sx.derived(spark, d)[0]).select("doc_ord", "src", "dst", "type")
+
+
+@_query("SELECT o.doc_ord + 1 AS file_id, o.sl::INT AS start_line, o.symbol FROM x_occs o WHERE NOT EXISTS (SELECT 1 FROM x_symbols s WHERE s.scip_symbol = o.symbol AND s.first_doc <= o.doc_ord)", with_index=True)
 def i12_known_filter(spark: SparkSession, d: str) -> DataFrame:
-    t = Tables(spark, d)
-    return t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").where("o_custkey <= o_orderkey").select("o_orderkey")
+    """What ingest left out, since only a later document brings its symbol."""
+    g = sx.store(spark, d).graph()
+    stored = g.occurrences.join(g.symbols.select(F.col("id").alias("symbol_id"), F.col("scip_symbol").alias("symbol")), "symbol_id").select("file_id", "start_line", "symbol")
+    every = sx.derived(spark, d)[1].select((F.col("doc_ord") + 1).alias("file_id"), F.col("sl").alias("start_line"), "symbol")
+    return every.exceptAll(stored)
+
+
+@_query("SELECT path, language FROM x_files", with_index=True)
+def i14_language(spark: SparkSession, d: str) -> DataFrame:
+    return sx.store(spark, d).graph().files.select("path", "language")
+
+
+@_query("SELECT id, scip_symbol, name, kind, def_file_id FROM x_symbols WHERE scip_symbol = 'local 1'", with_index=True)
+def i15_local_symbol(spark: SparkSession, d: str) -> DataFrame:
+    return sx.store(spark, d).graph().symbols.where("startswith(scip_symbol, 'local ')").select("id", "scip_symbol", "name", "kind", "def_file_id")
+
+
+@_query("SELECT id, path, language FROM x_files", with_index=True)
+def k3_write_files(spark: SparkSession, d: str) -> DataFrame:
+    return sx.store(spark, d).graph().files.select("id", "path", "language")
+
+
+@_query("SELECT * EXCLUDE (first_doc) FROM x_symbols", with_index=True)
+def k4_write_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return sx.store(spark, d).graph().symbols.drop("subsystem")
+
+
+@_query("SELECT * FROM x_occurrences", with_index=True)
+def k5_write_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    return sx.store(spark, d).graph().occurrences
+
+
+@_query("SELECT * EXCLUDE (file) FROM x_edges", with_index=True)
+def k6_write_edges(spark: SparkSession, d: str) -> DataFrame:
+    return sx.named_edges(sx.store(spark, d))
+
+
+@_query("SELECT 'total_symbols' AS key, count(*)::VARCHAR AS value FROM x_symbols UNION ALL SELECT 'total_files', count(*)::VARCHAR FROM x_files UNION ALL SELECT 'index_timestamp', '1700000000' UNION ALL SELECT unnest(['project_root', 'tool_name', 'tool_version', 'tool_arguments']), unnest(['/kernel', 'tables', '1', '-a b'])", with_index=True)
+def k9_finalize(spark: SparkSession, d: str) -> DataFrame:
+    return sx.store(spark, d).graph().get_metadata()
+
+
+@_query("SELECT src, dst, type FROM x_edges e JOIN x_symbols s ON s.scip_symbol = e.src WHERE coalesce(e.file + 1, s.def_file_id) % 5 <> 0", with_index=True)
+def u2_delete_null_file_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges without a file go with their source symbol's file."""
+    g = sx.store(spark, d).graph()
+    left = incremental.delete_file_records({"symbols": g.symbols, "edges": g.edges, "occurrences": g.occurrences}, _touched(g))["edges"]
+    names = g.symbols.select("id", "scip_symbol")
+    return left.join(names.withColumnsRenamed({"id": "src_id", "scip_symbol": "src"}), "src_id").join(names.withColumnsRenamed({"id": "dst_id", "scip_symbol": "dst"}), "dst_id").select("src", "dst", "type")
+
+
+@_query(sx.CHANGED, with_index=True)
+def u3_ingest_incremental(spark: SparkSession, d: str) -> DataFrame:
+    return sx.named_edges(sx.store(spark, d, moved=True))
 
 
 @_query("SELECT src_id, dst_id, type, file_id, line, ord FROM (SELECT l_orderkey AS src_id, l_linenumber::BIGINT AS dst_id, l_returnflag AS type, CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey END AS file_id, 0 AS line, l_partkey * 100000 + l_quantity::BIGINT * 1000 + l_suppkey AS ord FROM lineitem) QUALIFY file_id IS NULL OR row_number() OVER (PARTITION BY src_id, dst_id, type, file_id, line ORDER BY ord) = 1", with_graph=False)

@@ -11,7 +11,9 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -228,3 +230,58 @@ def read_scip(spark, path: str, **options: int):  # noqa: ANN001, ANN201
     ship(spark)
     spark.dataSource.register(Scip)
     return spark.read.format("scip").options(**{k: str(v) for k, v in options.items()}).load(path)
+
+
+# Writing
+
+
+def _encoded_range(plain: list[int] | None, single: tuple | None, multi: tuple | None, numbers: tuple[int, int, int]) -> bytes:
+    out = wire.put(numbers[0], plain) if plain else b""
+    for number, part in zip(numbers[1:], (single, multi), strict=True):
+        if part is not None:
+            out += wire.put(number, b"".join(wire.put(i, v) for i, v in enumerate(part, 1)))
+    return out
+
+
+def encode(row: dict) -> list[bytes]:
+    """The top-level fields of a row of the index schema."""
+    symbols = []
+    for s in row["symbols"] or []:
+        out = wire.put(1, s["symbol"]) + b"".join(wire.put(3, d) for d in s["documentation"] or [])
+        for r in s["relationships"] or []:
+            out += wire.put(4, wire.put(1, r["symbol"]) + b"".join(wire.put(i, 1) for i, k in enumerate(("is_reference", "is_implementation", "is_type_definition", "is_definition"), 2) if r[k]))
+        out += wire.put(5, s["kind"] or 0) + wire.put(6, s["display_name"] or "")
+        if s["signature"]:
+            out += wire.put(7, wire.put(5, s["signature"]))
+        symbols.append(out + (wire.put(8, s["enclosing_symbol"]) if s["enclosing_symbol"] else b""))
+    if row["part"] == "external":
+        return [wire.put(3, s) for s in symbols]
+    if row["part"] == "metadata":
+        m = row["metadata"]
+        tool = wire.put(1, m["tool_name"] or "") + wire.put(2, m["tool_version"] or "") + b"".join(wire.put(3, a) for a in m["tool_arguments"] or [])
+        return [wire.put(1, wire.put(2, tool) + wire.put(3, m["project_root"] or ""))]
+    values = lambda x: None if x is None else tuple(x.values())
+    out = wire.put(1, row["relative_path"])
+    for o in row["occurrences"] or []:
+        body = wire.put(2, o["symbol"]) + wire.put(3, o["symbol_roles"] or 0)
+        body += _encoded_range(o["range"], values(o["single_line"]), values(o["multi_line"]), (1, 8, 9))
+        body += _encoded_range(o["enclosing_range"], values(o["single_line_enclosing"]), values(o["multi_line_enclosing"]), (7, 10, 11))
+        out += wire.put(2, body)
+    return [wire.put(2, out + b"".join(wire.put(3, s) for s in symbols) + wire.put(4, row["language"] or ""))]
+
+
+def write_scip(index: DataFrame, path: str) -> None:
+    """Write rows of the index schema as one index file, in their order; tasks encode, the driver appends message after message."""
+    from ..session import materialise, ship
+
+    ship(index.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_ord"), batch.column("first"), pa.array([b"".join(encode(r)) for r in rows], pa.binary())], ["doc_ord", "first", "message"])
+
+    encoded = materialise(index.mapInArrow(run, "doc_ord long, first long, message binary"), "messages")
+    with open(path, "wb") as f:
+        for r in encoded.orderBy("doc_ord", "first").toLocalIterator():
+            f.write(r["message"])
