@@ -156,7 +156,7 @@ def reference_edges(occurrences: DataFrame, infos: DataFrame) -> DataFrame:
         return out.withColumns({f"{prefix}_kind": kind, f"{prefix}_name": name}).drop("__k")
 
     points = occurrences.where(~is_definition(F.col("role"))).select(F.struct("doc_ord", "occ_ord").alias("point"), "doc_ord", "occ_ord", "path", "symbol", F.col("sl").alias("line"))
-    held = materialise(enclosing(points, definition_ranges(occurrences)).where("encloser is not null").drop("point"), "enclosed")
+    held = enclosing(points, definition_ranges(occurrences)).where("encloser is not null").drop("point")
     held = with_known(with_known(held, "symbol", "to"), "encloser", "from")
     kind = F.when(F.col("to_kind").isin("function", "method"), "calls").when(F.col("to_kind") == "macro", "macro_expands").otherwise("references")
     bind = F.col("from_kind").isin("struct", "global_var") & is_ops_table(F.col("from_name")) & F.col("to_kind").isin("function", "method")
@@ -228,8 +228,7 @@ def build(index: DataFrame, resolve: str = "ordered", qualify_locals: bool = Fal
 
     # metadata and external symbols count as a file without a path
     paths = index.groupBy(F.col("relative_path").alias("path")).agg(F.min_by(F.struct("doc_ord", "language"), "doc_ord").alias("f"))
-    files = numbered(paths.select("path", language(F.col("f.language")).alias("language"), F.col("f.doc_ord").alias("o")), ["o", "path"], "id").select("id", "path", "language", F.lit(None).cast("string").alias("subsystem"), F.lit(None).cast("string").alias("sha"))
-    files = materialise(files, "files")
+    files = numbered(paths.select("path", language(F.col("f.language")).alias("language"), F.col("f.doc_ord").alias("o")), ["o", "path"], "id")  # stored by numbering.select("id", "path", "language", F.lit(None).cast("string").alias("subsystem"), F.lit(None).cast("string").alias("sha"))
     file_ids = files.select(F.col("id").alias("file_id"), "path")
 
     firsts = numbered(upsert_symbols(infos, definition_lines(occs, infos)), ["first_doc", "sym_ord"], "id")

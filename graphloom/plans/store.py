@@ -11,7 +11,7 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import derive, search
@@ -27,6 +27,7 @@ SORTED = {"files": "path", "symbols": "name", "occurrences": "symbol_id", "edges
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.stats: list[dict] = []  # of the last write: table, rows, seconds
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, *parts: str):  # noqa: ANN202
@@ -57,14 +58,18 @@ class Store:
     def write(self, tables: dict[str, DataFrame], with_search: bool = True, point: bool = True, ready: tuple[str, ...] = ()) -> str:
         """Write a snapshot and, if asked, make it the current one; its name.  ready: tables that are stored already and cost nothing to read twice."""
         snapshot = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        self.stats = []
 
         def put(name: str, df: DataFrame) -> None:
             by = SORTED[name]
             df.repartitionByRange(by).sortWithinPartitions(by).write.parquet(f"{self.root}/{snapshot}/{name}")
 
         for name, schema in TABLES.items():
+            began, seen = time.time(), Observation()
             # first as it comes, so that sampling the ranges does not derive it twice
             df = tables[name].select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+            if name not in ready:
+                df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
             if name not in ready:
                 df.write.parquet(f"{self.root}/{snapshot}/.{name}")
                 df = self.spark.read.schema(schema).parquet(f"{self.root}/{snapshot}/.{name}")
@@ -73,6 +78,8 @@ class Store:
                 put("edges_by_dst", df)
             if name not in ready:
                 self._fs.delete(self._path(snapshot, f".{name}"), True)
+            rows = df.count() if name in ready else seen.get["rows"]
+            self.stats.append({"table": name, "rows": rows, "seconds": time.time() - began})
         if with_search:
             found = search.index(self.spark.read.schema(TABLES["symbols"]).parquet(f"{self.root}/{snapshot}/symbols"))
             put("postings", found.postings)
@@ -84,6 +91,10 @@ class Store:
     def publish(self, snapshot: str) -> None:
         self._point(snapshot)
 
+    def snapshots(self) -> list[str]:
+        """The snapshots that are there, oldest first."""
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path()) if x.isDirectory())
+
     def discard(self, snapshot: str) -> None:
         """Remove a snapshot that is not the current one."""
         if snapshot == self.current():

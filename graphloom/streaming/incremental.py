@@ -18,10 +18,11 @@ from ..operators.metrics import rebuilt_fraction
 from ..plans.ordinals import numbered
 from ..plans.store import Store
 from ..schema import EDGES, OCCURRENCES
-from ..session import materialise
+from ..session import materialise, scope
 from ..sources import files as inputs
 
 Tables = dict[str, DataFrame]
+KEPT = 3  # snapshots that stay after a change, for readers that have begun
 
 
 def delete_file_records(tables: Tables, touched: DataFrame) -> Tables:
@@ -104,13 +105,22 @@ def apply_changes(base: Tables, index: DataFrame) -> Tables:
     return {"files": files, "symbols": symbols, "occurrences": occurrences, "edges": edges, "meta": base["meta"]}
 
 
-def ingest_incremental(store: Store, index: DataFrame) -> dict:
-    """Apply a partial index as a new snapshot; if anything fails the current one stays."""
+def ingest_incremental(store: Store, index: DataFrame, stamp: int | None = None) -> dict:
+    """Apply a partial index as a new snapshot; if anything fails the current one stays.  stamp: the graph's new index_timestamp."""
     began = time.time()
     graph = store.graph()
     base = {k: getattr(graph, k) for k in ("files", "symbols", "occurrences", "edges", "meta")}
-    snapshot = store.write(apply_changes(base, index), point=False)
+    with scope(store.spark):
+        tables = apply_changes(base, index)
+        if stamp is not None:
+            row = store.spark.range(1).select(F.lit("index_timestamp").alias("key"), F.lit(str(stamp)).alias("value"))
+            tables["meta"] = tables["meta"].where("key != 'index_timestamp'").union(row)
+        snapshot = store.write(tables, point=False, ready=("files", "symbols", "occurrences"))
+    before = store.current()
     store.publish(snapshot)
+    for old in store.snapshots()[:-KEPT]:
+        if old not in (snapshot, before):
+            store.discard(old)
     return {"files_touched": index.where("part = 'document'").select("relative_path").distinct().count(), "elapsed_s": time.time() - began}
 
 
