@@ -87,12 +87,13 @@ def _spread(sentence: str) -> str:
 
 
 _MARK = "\x01"
+_SPDX = r"SPDX-License-Identifier:[ \t]*+[A-Za-z0-9.+-]++"  # ends with its identifier, whatever the next line begins with
 
 
 def _marked(text: Column, knowledge: Knowledge) -> Column:
     """The text with each known sentence, wrapped as it may be, between two marks: one pass, whose alternatives are tried only where a sentence may begin."""
     ways = sorted({_spread(x) for v in [*knowledge.sentences.values(), *knowledge.neutral] for x in v.split("|")}, key=lambda x: (-len(x), x))
-    return F.regexp_replace(F.translate(text, _MARK, " "), F.lit(rf"{_BEGIN}(?i:({'|'.join(ways)})){_END}"), F.lit(f"$1{_MARK}$2{_MARK}"))
+    return F.regexp_replace(F.translate(text, _MARK, " "), F.lit(rf"{_BEGIN}((?i:{'|'.join(ways)}){_END}|{_SPDX})"), F.lit(f"$1{_MARK}$2{_MARK}"))
 
 
 def _normal(sentence: Column) -> Column:
