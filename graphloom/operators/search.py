@@ -26,7 +26,12 @@ _ACCENTED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0x
 
 
 def fold(c: Column) -> Column:
-    return F.translate(F.lower(c), "".join(a for a, _ in _ACCENTED), "".join(b.lower() for _, b in _ACCENTED))
+    low = F.lower(c)
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(_plain(low))  # most text is ASCII
+
+
+def _plain(low: Column) -> Column:
+    return F.translate(low, "".join(a for a, _ in _ACCENTED), "".join(b.lower() for _, b in _ACCENTED))
 
 
 def tokens(c: Column) -> Column:
@@ -46,19 +51,21 @@ class SearchIndex:
     documents: DataFrame
 
 
-def stored(at: SearchIndex) -> SearchIndex:
-    """The index as tables, postings sorted by token, so that looking up a word skips the rest."""
-    postings = materialise(at.postings, "postings")
-    return SearchIndex(materialise(postings.repartitionByRange("token").sortWithinPartitions("token"), "postings"), materialise(at.documents, "documents"))
+def index(rows: DataFrame, key: str = "id", columns: tuple[str, ...] = COLUMNS, keep: bool = False) -> SearchIndex:
+    """A posting per token, and each row's number of tokens over all columns.  keep: the tokens are stored, so that each text is cut once."""
+    cut = rows.select(F.col(key).alias("doc"), *(tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)))
+    if keep:
+        cut = materialise(cut, "tokens")
+    each = cut.select("doc", F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(f"t{i}").alias("t")) for i, c in enumerate(columns)))).alias("x"))
+    postings = each.select("doc", "x.col", F.posexplode("x.t").alias("pos", "token"))
+    size = reduce(lambda a, b: a + b, (F.size(f"t{i}") for i in range(len(columns))))
+    return SearchIndex(postings, cut.select("doc", size.alias("size")))
 
 
-def index(rows: DataFrame, key: str = "id", columns: tuple[str, ...] = COLUMNS) -> SearchIndex:
-    """One pass: a posting per token, and each row's number of tokens over all columns."""
-    arrays = [tokens(F.col(c)) for c in columns]
-    each = rows.select(F.col(key).alias("doc"), F.explode(F.array(*(F.struct(F.lit(c).alias("col"), a.alias("t")) for c, a in zip(columns, arrays, strict=True)))).alias("x"))
-    postings = each.select("doc", "x.col", F.posexplode("x.t").alias("pos", "token"))
-    size = reduce(lambda a, b: a + b, (F.size(a) for a in arrays))
-    return SearchIndex(postings, rows.select(F.col(key).alias("doc"), size.alias("size")))
+def stored(rows: DataFrame, key: str = "id", columns: tuple[str, ...] = COLUMNS) -> SearchIndex:
+    """The index as tables, postings sorted by token, so that looking up a word skips the rest."""
+    at = index(rows, key, columns, keep=True)
+    return SearchIndex(materialise(at.postings.repartitionByRange("token").sortWithinPartitions("token"), "postings"), materialise(at.documents, "documents"))
 
 
 @dataclass(frozen=True)

@@ -110,7 +110,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     if key not in _stores:
         store = Store(spark, f"{shared_folder(spark)}/graphloom/graph-{uuid.uuid4().hex}")
         with scope(spark):
-            store.write(build(Tables(spark, sf_dir)), with_search=False, ready=("files", "symbols"))
+            store.write(build(Tables(spark, sf_dir)), with_search=False, ready=("files", "symbols", "edges"))  # numbered tables are stored already
         _stores[key] = store.graph()
     return _stores[key]
 
@@ -119,7 +119,7 @@ def text_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     """The search index of a folder's documents, stored once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        _indexes[key] = search.stored(search.index(Tables(spark, sf_dir).documents, "doc_id", TEXTS))
+        _indexes[key] = search.stored(Tables(spark, sf_dir).documents, "doc_id", TEXTS)
     return _indexes[key]
 
 

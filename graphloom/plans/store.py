@@ -81,7 +81,7 @@ class Store:
             rows = df.count() if name in ready else seen.get["rows"]
             self.stats.append({"table": name, "rows": rows, "seconds": time.time() - began})
         if with_search:
-            found = search.index(self.spark.read.schema(TABLES["symbols"]).parquet(f"{self.root}/{snapshot}/symbols"))
+            found = search.index(self.spark.read.schema(TABLES["symbols"]).parquet(f"{self.root}/{snapshot}/symbols"), keep=True)
             put("postings", found.postings)
             put("documents", found.documents)
         if point:
@@ -131,5 +131,5 @@ def ingest(spark: SparkSession, path: str, root: str, resolve: str = "ordered",
 
     store = Store(spark, root)
     with scope(spark):
-        store.write(with_stats(derive.build(read_scip(spark, path), resolve), now), ready=("files", "symbols"))
+        store.write(with_stats(derive.build(read_scip(spark, path), resolve), now), ready=("files", "symbols", "occurrences", "edges"))  # numbered tables are stored already
     return store
