@@ -146,14 +146,16 @@ def reference_edges(occurrences: DataFrame, infos: DataFrame) -> DataFrame:
     Columns doc_ord, step, ord, part: the order in which a document gives its edges.
     """
     known = _local_kinds(infos)
+    # each distinct symbol is parsed once; enclosing ones are symbols of definitions
+    parsed = occurrences.select("symbol").distinct().withColumn("p", parse_symbol(F.col("symbol")))
+    parsed = materialise(parsed.select("symbol", F.col("p.kind").alias("p_kind"), F.col("p.short_name").alias("p_name")), "parsed")
 
     def with_known(df: DataFrame, symbol: str, prefix: str) -> DataFrame:
-        parsed = parse_symbol(F.col(symbol))
         side = known.select(F.col("doc_ord"), F.col("scip_symbol").alias(symbol), F.col("known").alias("__k"))
-        out = df.join(side, ["doc_ord", symbol], "left")
-        kind = F.coalesce(F.col("__k.kind"), parsed["kind"], F.lit(DEFAULT_KIND))
-        name = F.coalesce(F.col("__k.name"), _filled(parsed["short_name"]), F.col(symbol))
-        return out.withColumns({f"{prefix}_kind": kind, f"{prefix}_name": name}).drop("__k")
+        out = df.join(side, ["doc_ord", symbol], "left").join(parsed.withColumnRenamed("symbol", symbol), symbol, "left")
+        kind = F.coalesce(F.col("__k.kind"), F.col("p_kind"), F.lit(DEFAULT_KIND))
+        name = F.coalesce(F.col("__k.name"), _filled(F.col("p_name")), F.col(symbol))
+        return out.withColumns({f"{prefix}_kind": kind, f"{prefix}_name": name}).drop("__k", "p_kind", "p_name")
 
     points = occurrences.where(~is_definition(F.col("role"))).select(F.struct("doc_ord", "occ_ord").alias("point"), "doc_ord", "occ_ord", "path", "symbol", F.col("sl").alias("line"))
     held = enclosing(points, definition_ranges(occurrences)).where("encloser is not null").drop("point")
