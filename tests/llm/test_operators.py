@@ -248,6 +248,45 @@ def test_trusted_sample_passes_over_long_documents(spark, monkeypatch):
     assert {r["doc_id"] for r in quality.trusted_sample(long, labels)[0].collect()} == set(ids) - {ids[1]}
 
 
+def test_quality_learns_from_every_trusted_document(spark, monkeypatch):
+    """Model and thresholds against all trusted documents, whatever the bounds of a sample."""
+    for k, v in {"TRAIN_BYTES": 1000, "TRAIN_DOCS": 10, "HELD_DOCS": 5}.items():
+        monkeypatch.setattr(quality, k, v)
+    r = random.Random(11)
+    rows = [(i, prose(r, r.randint(1, 60)), ("en", "fr")[i % 2], "s", 0) for i in range(400)]
+    table, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, 0) for i in range(300)], LABELS)
+    place = {x["id"]: x["h"] % 5 for x in spark.range(300).withColumn("h", F.xxhash64(F.col("id"), F.lit(1))).collect()}
+    model = brute.kneser_ney([t for d, t, *_ in rows if place.get(d, 0)])
+    got = {x["doc_id"]: x for x in quality.classify(table, labels, ["doc_id", "lang"]).collect()}
+    for d, t, *_ in rows:
+        assert math.isclose(got[d]["log10_prob"], model(t), rel_tol=1e-9), d
+    for lang in ("en", "fr"):
+        held = [got[d] for d, _, of, *_ in rows if of == lang and place.get(d) == 0]
+        assert len(held) > 20
+
+        def quantile(xs, q):
+            xs, at = sorted(xs), q * (len(xs) - 1)
+            return xs[int(at)] + (xs[min(int(at) + 1, len(xs) - 1)] - xs[int(at)]) * (at - int(at))
+
+        middle = quantile([-x["log10_judged"] / x["n_tokens"] for x in held], 0.5)
+        limit = quantile([(-x["log10_judged"] + quality.PRIOR * middle) / (x["n_tokens"] + quality.PRIOR) for x in held], quality.QUANTILE)
+        assert all(math.isclose(x["threshold"], 10**limit, rel_tol=1e-9) for x in got.values() if x["lang"] == lang)
+
+
+@pytest.mark.parametrize("shard_bytes", [200, 1 << 20])
+def test_quality_in_shards(spark, docs, corpus, monkeypatch, shard_bytes):
+    """The model in many shards, from many batches, of texts with nulls, copies and a very long one."""
+    monkeypatch.setattr(quality, "BATCH", 500)
+    monkeypatch.setattr(quality, "SENT", 500)
+    texts = [t for _, t, *_ in corpus if t != corpus[0][1] and len(t or "") < 10_000]
+    fit = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model = brute.kneser_ney([t or "" for t in texts])
+    got = {x["doc_id"]: x["log10_prob"] for x in quality.score(docs, quality.train(fit, shard_bytes=shard_bytes), ["doc_id"]).collect()}
+    assert len(got) == len(corpus)
+    for d, t, *_ in corpus:
+        assert math.isclose(got[d], model(t or ""), rel_tol=1e-9), d
+
+
 def test_without_trusted_text(docs, spark):
     out = quality.classify(docs, spark.createDataFrame([], LABELS), ["doc_id"])
     assert out.where("kept").count() == docs.count()
