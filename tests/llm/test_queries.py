@@ -181,6 +181,18 @@ def test_pipeline_of_odd_tables(spark, tmp_path, kind):
         assert Counter(r["doc_id"] for r in out)[1] == 1 and {r["doc_id"] for r in out} >= {1, 2, 3, None}
 
 
+def test_pipeline_learns_from_every_trusted_document(spark, monkeypatch):
+    """The bounds of a sample do not reach the stage: it accepts what a model of all trusted text accepts."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = brute.kneser_ney([r["text"] for r in quality.trusted_sample(docs, labels)[0].collect()])  # all of them, in this small table
+    want = {r["doc_id"]: r for r in quality.classify(docs, labels, ["doc_id", "text"]).collect()}
+    assert all(math.isclose(r["log10_prob"], model(r["text"]), rel_tol=1e-9) for r in want.values())
+    for k in ("TRAIN_BYTES", "TRAIN_DOCS", "HELD_DOCS"):
+        monkeypatch.setattr(quality, k, 0)
+    got = {r["doc_id"] for r in corpus_pipeline.quality_classifier(spark, docs, SF).collect()}
+    assert got == {d for d, r in want.items() if r["kept"]} and len(got) < len(want)
+
+
 def test_pipeline(spark):
     """Each stage on what the one before it kept, against brute force where the stage is exact."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
