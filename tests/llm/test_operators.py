@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -370,6 +371,23 @@ def test_mixing(docs, corpus, spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize("sizes", [[100] * 3, [100] * 20, [7, 0, 50, 1, 900, 3], [0, 0], [5]])
+def test_mixing_targets(spark, sizes):
+    """Shared by weight again and again until none is above twice its source, in whole numbers; also where sources below the level are of several kinds."""
+    names = [f"s{i:02d}" for i in range(len(sizes))]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(zip(names, sizes, strict=True))], "doc_id long, text string, source string")
+    want, free = {}, {s: (n, mixing.WEIGHTS[i % 3]) for i, (s, n) in enumerate(zip(names, sizes, strict=True))}
+    while free:
+        left, weights = Fraction(3 * sum(sizes), 2) - sum(want.values()), sum(w for _, w in free.values())
+        over = {s: 2 * n for s, (n, w) in free.items() if left * w > 2 * n * weights} or {s: left * w / weights for s, (_, w) in free.items()}
+        want |= over
+        free = {s: x for s, x in free.items() if s not in over}
+    got = {names[r["doc_id"]]: r for r in mixing.mix(docs).collect()}
+    assert {s: (r["size"], r["source_size"]) for s, r in got.items()} == {s: (n, n) for s, n in zip(names, sizes, strict=True)}
+    assert all(math.isclose(got[s]["target"], want[s], rel_tol=1e-12) for s in names)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got.values())
+
+
 def test_media_round_trip(spark, docs, corpus):
     uri = media.write_media(docs)
     whole = media.features(media.read_media(spark, uri, rangeBytes=5000, batchBytes=1)).collect()
