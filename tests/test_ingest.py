@@ -1,13 +1,17 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import derive
 from graphloom.operators.graph import Graph
+from graphloom.plans import projection
+from graphloom.plans.ordinals import numbered
 from graphloom.plans.store import Store, ingest, with_stats
-from graphloom.sources import wire
+from graphloom.session import scope, shared_folder
+from graphloom.sources import scip, wire
 from graphloom.sources.scip import read_scip
 from graphloom.streaming import incremental
 from tests import fixture as fx
@@ -172,3 +176,39 @@ def test_repeated_ingest_overwrites(spark, tmp_path):
         store.discard(store.current())
     with pytest.raises(FileNotFoundError):
         Store(spark, str(tmp_path / "none")).table("files")
+
+
+def test_large_document_comes_in_pieces(spark, tmp_path):
+    """No row, and so no task, holds a document whole; places go on from row to row, and a part that is not asked for is left out."""
+    lines = [(k * 40_000) % 3_000_001 for k in range(2 * scip.PIECE + 100)]
+    occurrences = [fx.occurrence(fx.READ, 1 if k == 0 else 8, line, (line, line + 3) if k % 3 == 0 else None, ("three", "four", "single", "multi")[k % 4]) for k, line in enumerate(lines)]
+    symbols = [fx.symbol(f"{fx.P}f{k}().", fx.FUNCTION, f"f{k}") for k in range(scip.PIECE + 3)]
+    (tmp_path / "i.scip").write_bytes(fx.index([fx.document("a.c", symbols, occurrences), fx.document("b.c", symbols[:2], occurrences[:2]), fx.document("c.c", [], [])], external=False))
+    rows = read_scip(spark, str(tmp_path / "i.scip")).where("part = 'document'").collect()
+    assert max(max(len(r["symbols"]), len(r["occurrences"])) for r in rows) == scip.PIECE
+    assert {r["doc_ord"]: (r["relative_path"], r["language"]) for r in rows} == {1: ("a.c", "C"), 2: ("b.c", "C"), 3: ("c.c", "C")}
+    assert [len(r["occurrences"]) for r in rows if r["doc_ord"] > 1] == [2, 0]
+    occs = derive.occurrence_rows(read_scip(spark, str(tmp_path / "i.scip"), only="occurrences")).where("doc_ord = 1").orderBy("occ_ord").collect()
+    assert [(r["occ_ord"], r["sl"], r["el"], r["body_end"]) for r in occs] == [(k, line, line, line + 3 if k % 3 == 0 else line) for k, line in enumerate(lines)]
+    infos = derive.symbol_infos(read_scip(spark, str(tmp_path / "i.scip"), only="symbols")).where("doc_ord = 1").orderBy("sym_ord").collect()
+    assert [(r["sym_ord"], r["name"]) for r in infos] == [(k, f"f{k}") for k in range(len(symbols))]
+    heads = read_scip(spark, str(tmp_path / "i.scip"), only="heads").where("part = 'document'").collect()
+    assert [(r["relative_path"], r["symbols"], r["occurrences"]) for r in heads] == [("a.c", [], []), ("b.c", [], []), ("c.c", [], [])]
+
+
+def test_tables_are_stored_as_they_are_asked_for(spark):
+    """What lies in the metadata or the files of the projected graph does not wait for its edges; what is numbered is stored once."""
+    g = projection.Projected(projection.Tables(spark, "/root/testdata/sf0.001"))
+    assert g.get_metadata().count() == 5 and set(g._made) == {"meta"}
+    assert g.get_definition_location("cxx . . $ Customer#000000007().").count() == 1 and set(g._made) == {"meta", "files", "symbols"}
+    with scope(spark):
+        edges = g.edges.count()
+    assert edges == g.edges_by_dst.count() == g.edges.select("edge_ord").distinct().count() > 0  # outlives the scope in which it was asked for
+
+
+def test_numbering_leaves_no_second_copy(spark):
+    at = Path(shared_folder(spark).removeprefix("file:")) / "graphloom"
+    before = set(at.glob("unnumbered-*"))
+    rows = numbered(spark.range(100).select((F.col("id") * 7 % 100).alias("k")), ["k"], "n").collect()
+    assert all(r["n"] == r["k"] + 1 for r in rows)
+    assert set(at.glob("unnumbered-*")) == before
